@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, toxicity
+from . import bpe, exact_dedup, ngram_join, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
+    "op10_bpe": bpe.query,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
