@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, ngram_join, toxicity
+from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op5_line_dedup": line_dedup.query,
     "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
+    "op9_mixing": mixing.query,
     "op10_bpe": bpe.query,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
 }
