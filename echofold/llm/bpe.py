@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from .common import documents, raw, span_hashes, text_slices
 
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = VOC
     v = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [f"__k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[k].alias(n) for k, n in zip(keep, names)], docs["text"].alias("__text"))
-    schema = rows.drop("__text").schema.add("token_ids", "array<int>").add("n_tokens", "int").add("round_trip", "boolean")
+    schema = rows.drop("__text").schema.add("token_ids", ArrayType(IntegerType())).add("n_tokens", IntegerType()).add("round_trip", BooleanType())
 
     def run(batches):
         for b in batches:
@@ -222,7 +223,7 @@ def decode(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = V
     v = tokens.sparkSession.sparkContext.broadcast(load(path))
     names = [f"__k{i}" for i in range(len(keep))]
     rows = tokens.select(*[tokens[k].alias(n) for k, n in zip(keep, names)], tokens["token_ids"].alias("__ids"))
-    schema = rows.drop("__ids").schema.add("text", "string")
+    schema = rows.drop("__ids").schema.add("text", StringType())
 
     def run(batches):
         for b in batches:
