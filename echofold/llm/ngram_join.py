@@ -26,7 +26,9 @@ CHUNKS = 32
 #: matches asked beyond the plain prefix, as shares of the set; each costs as many more prefix grams
 EXTRA = (0.0, 0.03, 0.08, 0.15)
 VERIFY_COST = 40.0
-FLUSH_GRAMS = 3_000_000
+FLUSH_GRAMS = 1_500_000
+#: pairs formed at once, and held before they are summed
+BLOCK_PAIRS, HELD_PAIRS = 500_000, 3_000_000
 SIZE_STEP = 1.1
 
 
@@ -144,7 +146,7 @@ def _pairs_of_runs(g, ids, steps, far: int) -> Iterator[tuple[np.ndarray, np.nda
         at = edge[:-1][length == m]
         if m <= 64:
             i, j = np.triu_indices(m, 1)
-            block = max(1, 2_000_000 // len(i))
+            block = max(1, BLOCK_PAIRS // len(i))
             for k in range(0, len(at), block):
                 a, b = (at[k : k + block, None] + i).ravel(), (at[k : k + block, None] + j).ravel()
                 ok = (steps[b].astype(np.int16) - steps[a] <= far) & (ids[a] != ids[b])
@@ -156,7 +158,7 @@ def _pairs_of_runs(g, ids, steps, far: int) -> Iterator[tuple[np.ndarray, np.nda
                 todo = ends - np.arange(m) - 1
                 begin = 0
                 while begin < m:
-                    stop = begin + max(1, int(np.searchsorted(np.cumsum(todo[begin:]), 2_000_000)))
+                    stop = begin + max(1, int(np.searchsorted(np.cumsum(todo[begin:]), BLOCK_PAIRS)))
                     a = np.repeat(np.arange(begin, min(stop, m)), todo[begin:stop])
                     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo[begin:stop]) - todo[begin:stop], todo[begin:stop])
                     ok = ids[start + a] != ids[start + b]
@@ -164,7 +166,7 @@ def _pairs_of_runs(g, ids, steps, far: int) -> Iterator[tuple[np.ndarray, np.nda
                     begin = stop
 
 
-def _match(t: float):
+def _match(t: float, parts_out: int):
     far = int(np.ceil(np.log(1 / t) / np.log(SIZE_STEP))) + 1
 
     def joined(blobs):
@@ -183,11 +185,11 @@ def _match(t: float):
             x, y = local[a], local[b]
             parts.append(np.minimum(x, y) * width + np.maximum(x, y))
             held += len(x)
-            if held > 8_000_000:
-                yield _pair_batch(name, width, parts)
+            if held > HELD_PAIRS:
+                yield from _packed_pairs(name, width, parts, parts_out)
                 parts, held = [], 0
         if parts:
-            yield _pair_batch(name, width, parts)
+            yield from _packed_pairs(name, width, parts, parts_out)
 
     def run(batches):
         by: dict[int, list[bytes]] = {}
@@ -200,9 +202,52 @@ def _match(t: float):
     return run
 
 
-def _pair_batch(name, width, parts):
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of the differences of consecutive values: neighbours are near, so that the planes compress."""
+    return np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes, m: int, at: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8, 8 * m, at).reshape(8, m).T.copy().view("<i8").ravel())
+
+
+def _packed_pairs(name: np.ndarray, width: np.int64, parts: list[np.ndarray], out: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with their matches so far, packed by the part that sums up those of the pair's first document."""
     key, count = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(name[key // width]), pa.array(name[key % width]), pa.array(count)], ["a", "b", "c"])
+    a, b = name[key // width], name[key % width]
+    part = (mix(a.astype(np.uint64)) % np.uint64(out)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[order], np.arange(out + 1))
+    for k in np.flatnonzero(np.diff(edge)):
+        o = order[edge[k] : edge[k + 1]]
+        packed = _planes(a[o]) + _planes(b[o]) + count[o].astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["part", "packed"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, c) of the pairs of each part."""
+
+    def add(held):
+        a, b, c = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, a))
+        a, b, c = a[order], b[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[first], b[first], np.add.reduceat(c, first)
+
+    by: dict[int, list] = {}
+    size: dict[int, int] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            m = len(x) // 20
+            by.setdefault(k, []).append((_unplaned(x, m, 0), _unplaned(x, m, 8 * m), np.frombuffer(x, "<u4", m, 16 * m).astype(np.int64)))
+            size[k] = size.get(k, 0) + m
+            if size[k] > HELD_PAIRS and size[k] > 2 * len(by[k][0][0]):
+                by[k] = [add(by[k])]
+                size[k] = len(by[k][0][0])
+    for k in sorted(by):
+        a, b, c = add(by.pop(k))
+        for i in range(0, len(a), 1_000_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 1_000_000]) for x in (a, b, c)], ["a", "b", "c"])
 
 
 def _sets(n: int):
@@ -260,8 +305,8 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int =
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     single = drop_ids(texts, same.select("doc_b"))
     index = scratch.table(single.mapInArrow(_prefixes(n, t, bits, buckets, handle, usual), "bucket int, packed binary, doc_id long, size long, rest long"), "prefixes")
-    counts = index.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").mapInArrow(_match(t), "a long, b long, c long")
-    counts = counts.groupBy("a", "b").agg(F.sum("c").alias("c"))
+    counts = index.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").mapInArrow(_match(t, buckets), "part int, packed binary")
+    counts = counts.repartition(buckets, "part").mapInArrow(_summed, "a long, b long, c long")
     facts = index.where("bucket < 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("rest").alias("rest"))
     facts = broadcast_if_small(facts, 32)
     x, y = (facts.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("rest").alias(f"rest_{k}")) for k in "ab")
