@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, toxicity
+from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, pitman_yor, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op3_lm_scoring": pitman_yor.query,
     "op5_line_dedup": line_dedup.query,
     "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
