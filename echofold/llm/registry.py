@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, pitman_yor, toxicity
+from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, nn_descent, pitman_yor, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_lm_scoring": pitman_yor.query,
+    "op4_near_embeddings": nn_descent.query,
     "op5_line_dedup": line_dedup.query,
     "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_bpe": bpe.query,
 }
 SQL = {
+    "op4_near_embeddings": nn_descent.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
