@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kd_shards, line_dedup, mixing, ngram_join, nn_descent, pitman_yor, toxicity
+from . import bpe, exact_dedup, kd_shards, line_dedup, mixing, ngram_join, nn_descent, pitman_yor, toxicity, wrappers
 
 QUERIES = {
+    "op1_html_extraction": wrappers.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_lm_scoring": pitman_yor.query,
     "op4_near_embeddings": nn_descent.query,
