@@ -19,7 +19,9 @@ from .common import broadcast_if_small, documents
 
 SEED = 11
 #: exponent that flattens the sources' natural shares into target weights
-TEMPERATURE = 0.7
+TEMPERATURE = 0.3
+#: weight of each kind of source; a kind's weight goes to its sources by their flattened shares
+KINDS = {"lang": 0.8, "source": 0.2}
 #: cost of the k-th epoch over a pattern; the last price holds for all that follow
 EPOCH_COSTS = (0, 1, 3, 6, 10, 15, 21, 28, 36, 45)
 
@@ -176,7 +178,7 @@ def tokens_of(docs: DataFrame) -> Column:
 
 
 def natural_weights(tokens: dict[tuple, int], temperature: float = TEMPERATURE) -> dict[str, float]:
-    """Half of the weight for the languages, half for the crawl sources, in each by share to the power of temperature."""
+    """The weight of each of KINDS over its sources, by their share of tokens to the power of temperature."""
     share: dict[str, int] = {}
     for p, n in tokens.items():
         for s in p:
@@ -184,7 +186,7 @@ def natural_weights(tokens: dict[tuple, int], temperature: float = TEMPERATURE)
     out: dict[str, float] = {}
     for kind in sorted({s.split(":")[0] for s in share}):
         own = {s: n**temperature for s, n in share.items() if s.split(":")[0] == kind}
-        out |= {s: x / sum(own.values()) for s, x in own.items()}
+        out |= {s: KINDS[kind] * x / sum(own.values()) for s, x in own.items()}
     return out
 
 
