@@ -152,7 +152,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of many texts in flat arrays: a word is a run of ASCII letters, digits and non-ASCII characters, in lower case.
 
-    hash, doc, start and end (byte offsets in data) by word; first: the first word of each text (n + 1).
+    hash (of the first prefix characters), full (of the whole word), doc, start and end (byte offsets in data) by word; first: the first word of each text (n + 1).
     """
 
     def __init__(self, texts: pa.Array, prefix: int | None = None):
@@ -167,6 +167,7 @@ class Words:
         if prefix is not None:
             end = prefix_ends(self.data, self.start, self.end, prefix)
         self.hash = span_hashes(self.data, self.start, end)
+        self.full = self.hash if prefix is None else span_hashes(self.data, self.start, self.end)
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.offsets = off

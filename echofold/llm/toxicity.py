@@ -50,11 +50,11 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
         return np.where(self.hashes[at] == tokens, self.scores[at], 0.0) - self.drift
 
-    def score_text(self, tokens: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Scores of one text in which the k-th occurrence of a scoring token counts 1/k: words come in bursts."""
+    def score_text(self, words: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Scores of one text in which the k-th occurrence of a scoring word counts 1/k: words come in bursts."""
         up = np.flatnonzero(scores > 0)
-        order = np.argsort(tokens[up], kind="stable")
-        same = tokens[up][order]
+        order = np.argsort(words[up], kind="stable")
+        same = words[up][order]
         first = np.searchsorted(same, same)
         k = np.empty(len(up))
         k[order] = np.arange(len(up)) - first + 1
@@ -100,16 +100,16 @@ def poisson_p_value(scores: list[float], n: int, decay: float, scale: float, flo
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean documents each token is."""
+    """How many different words of each token toxic and clean documents hold, added up over documents."""
     every, flags, tokens = [], [], np.zeros(2, np.int64)
     for b in batches:
         toxic = b.column(1).to_numpy(zero_copy_only=False)
         for i, j in text_slices(b.column(0)):
             words = Words(b.column(0).slice(i, j - i), STEM)
-            order = np.lexsort((words.hash, words.doc))
-            h, d = words.hash[order], words.doc[order]
+            order = np.lexsort((words.full, words.doc))
+            h, f, d = words.hash[order], words.full[order], words.doc[order]
             once = np.ones(len(h), bool)
-            once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
             every.append(h[once])
             flags.append(toxic[i:j][d[once]] == 1)
             tokens += np.bincount(toxic[i:j][words.doc] == 1, minlength=2)
@@ -124,7 +124,8 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_t: float, n_c: float, shrink: float = SHRINK) -> np.ndarray:
     """Log-odds with a Dirichlet prior spread as the background, less shrink standard errors; 0 below EFFECT.
 
-    toxic and clean count documents that hold the token, n_t and n_c all tokens: a long document then favours no token.
+    toxic and clean count a word of the token once for each document that holds it, n_t and n_c all words: a word that
+    one document repeats then tells little, and a token of which a document has many words tells much.
     """
     mass = PRIOR * n_t
     prior = mass * (toxic + clean) / (n_t + n_c)
@@ -202,7 +203,7 @@ def _calibrate(clean: DataFrame, model: Model) -> tuple[float, float]:
                 scores = model.score(words.hash)
                 for d in np.unique(words.doc[scores > 0]):
                     a, z = words.first[d], words.first[d + 1]
-                    for _, _, x in maximal_segments(model.score_text(words.hash[a:z], scores[a:z])):
+                    for _, _, x in maximal_segments(model.score_text(words.full[a:z], scores[a:z])):
                         above += x >= marks
         yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([above.tolist()])], ["tokens", "above"])
 
@@ -219,7 +220,7 @@ def _judged(texts: pa.Array, model: Model, significant: float, passage: float) -
         for d in np.unique(words.doc[scores > 0]):
             first, last = words.first[d], words.first[d + 1]
             n = int(last - first)
-            segments = maximal_segments(model.score_text(words.hash[first:last], scores[first:last]))
+            segments = maximal_segments(model.score_text(words.full[first:last], scores[first:last]))
             if not segments:
                 continue
             p = poisson_p_value([x for _, _, x in segments], n, model.decay, model.scale, model.floor)
