@@ -4,7 +4,7 @@ Grams have one global order: rare first, by a sketch of how many documents hold
 share o = ceil(t / (1 + t) (|x| + |y|)) grams, so with prefixes that leave r_x and r_y grams out they share at
 least o - max(r_x, r_y) prefix grams. A document whose prefix grams are expected to meet many others takes a
 longer prefix, and its pairs then need as many more matches before their full sets are compared. Results are
-exact (for 64-bit gram hashes) whatever the sketch says. Documents of equal sets are joined as one.
+exact (for 48-bit gram hashes) whatever the sketch says. Documents of equal sets are joined as one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ FLUSH_GRAMS = 1_500_000
 #: pairs formed at once, and held before they are summed
 BLOCK_PAIRS, HELD_PAIRS = 500_000, 3_000_000
 SIZE_STEP = 1.1
+#: of each gram's 64 bits, those that full sets are compared by
+SET_BYTES = 6
 
 
 def _gram_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -251,17 +254,35 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(n: int):
-    def run(batches):
-        for ids, g, doc in _gram_sets(batches, n):
+    """For each block that wants a document, the leading SET_BYTES of its sorted grams as byte planes: the first ones hardly change along a set."""
+
+    def of(batch):
+        blocks = batch.column(2)
+        for ids, g, doc in _gram_sets([batch], n):
             first = np.searchsorted(doc, np.arange(len(ids) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([g[first[i] : first[i + 1]].tobytes() for i in range(len(ids))], pa.binary())], ["doc_id", "grams"])
+            planes = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
+            packed = pa.array([np.ascontiguousarray(planes[first[i] : first[i + 1]].T).tobytes() for i in range(len(ids))], pa.binary())
+            here = blocks.slice(0, len(ids))
+            blocks = blocks.slice(len(ids))
+            row = pc.list_parent_indices(here)
+            yield pa.RecordBatch.from_arrays([here.flatten(), pa.array(ids).take(row), packed.take(row)], ["at", "doc_id", "grams"])
+
+    def run(batches):
+        for b in batches:
+            yield from of(b)
 
     return run
 
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(SET_BYTES, -1).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _verify(t: float):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {i: np.frombuffer(x, np.uint64) for i, x in zip(right["doc_id"].to_pylist(), right["grams"].to_pylist())}
+        sets = {i: _unpacked(x) for i, x in zip(right["doc_id"].to_pylist(), right["grams"].to_pylist())}
         a, b, both, either = [], [], [], []
         for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist()):
             one, two = sets[x], sets[y]
@@ -319,9 +340,9 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int =
     placed = candidates.join(label, candidates["a"] == label["doc"]).select((F.pmod(F.xxhash64("label"), F.lit(4 * buckets))).alias("block"), "a", "b")
     placed = scratch.table(placed, "placed")
     wanted = placed.select(F.col("block").alias("at"), F.col("a").alias("doc_id")).unionByName(placed.select(F.col("block").alias("at"), F.col("b").alias("doc_id"))).distinct()
-    ids = wanted.select(F.col("doc_id").alias("want")).distinct()
-    sets = single.join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("want"), "left_semi").mapInArrow(_sets(n), "doc_id long, grams binary")
-    shipped = wanted.join(sets, "doc_id").select("at", "doc_id", "grams")
+    lists = scratch.table(wanted.groupBy("doc_id").agg(F.collect_list("at").alias("blocks")).withColumnRenamed("doc_id", "want"), "wanted")
+    members = single.join(broadcast_if_small(lists, 40), F.col("doc_id") == F.col("want")).select("doc_id", "text", "blocks")
+    shipped = members.mapInArrow(_sets(n), "at long, doc_id long, grams binary")
     found = placed.groupBy("block").cogroup(shipped.groupBy("at")).applyInArrow(_verify(t), _RESULT)
     return found.unionByName(same.select("doc_a", "doc_b", "shared", F.lit(1.0).alias("jaccard")))
 
