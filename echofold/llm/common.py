@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # large arrays go back to the system when freed; glibc else raises its threshold, and idle workers stay large
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+    ctypes.CDLL(None).mallopt(-1, 8 << 20)
+except (AttributeError, OSError):  # another C library
+    pass
+
 BROADCAST_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
 

@@ -36,7 +36,7 @@ STIRLING = 400
 #: of a frequent context's dishes, into how many parts they go; tables of a context add up over its parts
 SPREAD = 8
 SLICE_BYTES = 1 << 20
-PART_BYTES = 6 << 20
+PART_BYTES = 12 << 20
 CHUNKS = 32
 
 
@@ -253,13 +253,13 @@ class Parents:
 
     def dump(self) -> bytes:
         head = np.array([self.discount, self.theta]).tobytes()
-        return zlib.compress(head + b"".join(x.tobytes() for x in (self.predictive.astype(np.float32), self.customers.astype(np.int64), self.opened.astype(np.int64))), 1)
+        return zlib.compress(head + b"".join(x.astype(np.float32).tobytes() for x in (self.predictive, self.customers, self.opened)), 1)
 
     @classmethod
     def parse(cls, data: bytes) -> Parents:
         x = zlib.decompress(data)
         d, theta = np.frombuffer(x, np.float64, 2)
-        return cls(np.frombuffer(x, np.float32, TYPES, 16), np.frombuffer(x, np.int64, TYPES, 16 + 4 * TYPES), np.frombuffer(x, np.int64, TYPES, 16 + 12 * TYPES), float(d), float(theta))
+        return cls(*(np.frombuffer(x, np.float32, TYPES, 16 + 4 * k * TYPES) for k in range(3)), float(d), float(theta))
 
 
 def seat_parent(wanted: np.ndarray, d: float, theta: float, ratios: np.ndarray, seed: int, rounds: int = BURN_IN) -> np.ndarray:
@@ -285,7 +285,7 @@ def _seatings(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in:
     d, theta = parents.discount, parents.theta
     p0, context, inverse = parents.predictive[p.w].astype(np.float64), *np.unique(p.u, return_inverse=True)
     own = np.bincount(inverse, minlength=len(context))
-    others = np.maximum(parents.opened[context] - own, 0)  # tables of the context's other parts, as of the last pass
+    others = np.maximum(parents.opened[context].astype(np.float64) - own, 0)  # tables of the context's other parts, as of the last pass
     weight = lambda t: (theta + d * (others + np.bincount(inverse, t, len(context)))[inverse]) * p0
     t = np.ones(len(p.c), np.int64)
     t = first_seating(p.c, weight(t), t, d, random)
@@ -301,7 +301,7 @@ def _seatings(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in:
 def token_probabilities(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> np.ndarray:
     """By dish, the probability of one of its tokens given all other tokens, averaged over the sampled seatings."""
     d, theta = parents.discount, parents.theta
-    p0, n, out = parents.predictive[p.w].astype(np.float64), parents.customers[p.u], np.zeros(len(p.c))
+    p0, n, out = parents.predictive[p.w].astype(np.float64), parents.customers[p.u].astype(np.float64), np.zeros(len(p.c))
     for t, opened in _seatings(p, parents, ratios, seed, burn_in, samples):
         gone = alone(p.c, t, ratios, d)
         gone = np.where(p.c == 1, 1.0, gone)
@@ -345,8 +345,9 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
             break
         found = _arrays(rows.mapInArrow(_one_pass(handle, table, k, burn_in), _STATE))
         opened, wanted = found.get("opened", zero), found.get("wanted", zero)
-    scored = rows.mapInArrow(_score(handle, table, passes, burn_in, samples), "doc_id long, n long, lp double")
-    sums = scored.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("lp").alias("lp"))
+    groups = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scored = rows.mapInArrow(_score(handle, table, passes, burn_in, samples, groups), "g int, packed binary").repartition(groups, "g")
+    sums = scored.mapInArrow(_summed, "doc_id long, n long, lp double")
     every = base.select(F.coalesce("doc_id", F.lit(none)).alias("doc_id")).distinct()
     joined = every.join(sums, "doc_id", "left")
     n = F.coalesce("n", F.lit(0))
@@ -366,15 +367,39 @@ def _one_pass(handle, table, seed: int, burn_in: int):
     return run
 
 
-def _score(handle, table, seed: int, burn_in: int, samples: int):
+def _score(handle, table, seed: int, burn_in: int, samples: int, out: int):
+    """Tokens and log probability of each part's documents, packed by the group of documents that sums them."""
+
     def run(batches):
         parents = Parents.parse(handle.value)
         for k, p in _parts_of(batches):
             lp = np.log(token_probabilities(p, parents, table.value, (seed << 32) + k, burn_in, samples))[p.dish]
-            yield pa.RecordBatch.from_arrays([pa.array(p.ids), pa.array(np.bincount(p.doc, minlength=len(p.ids))), pa.array(np.bincount(p.doc, lp, len(p.ids)))], ["doc_id", "n", "lp"])
+            n, total = np.bincount(p.doc, minlength=len(p.ids)), np.bincount(p.doc, lp, len(p.ids))
+            group = (mix(p.ids.astype(np.uint64)) % np.uint64(out)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            edge = np.searchsorted(group[order], np.arange(out + 1))
+            for g in np.flatnonzero(np.diff(edge)):
+                o = order[edge[g] : edge[g + 1]]
+                packed = np.array([len(o)], "<i4").tobytes() + _pack((np.diff(p.ids[o], prepend=0), "<i8"), (n[o], "<i4")) + total[o].astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([packed], pa.binary())], ["g", "packed"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by: dict[int, list[bytes]] = {}
+    for b in batches:
+        for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by.setdefault(g, []).append(x)
+    for g in sorted(by):
+        ids, n, total = [], [], []
+        for x in by.pop(g):
+            m = int(np.frombuffer(x, "<i4", 1)[0])
+            di, k = _unpack(x[4 : len(x) - 4 * m], m, "<i8", "<i4")
+            ids.append(np.cumsum(di)), n.append(k), total.append(np.frombuffer(x, "<f4", m, len(x) - 4 * m))
+        own, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inverse, np.concatenate(n)).astype(np.int64)), pa.array(np.bincount(inverse, np.concatenate(total)))], ["doc_id", "n", "lp"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
