@@ -3,7 +3,8 @@
 Grams have one global order: rare first, by a sketch of how many documents hold them. Two sets of Jaccard t
 share o = ceil(t / (1 + t) (|x| + |y|)) grams, so with prefixes that leave r_x and r_y grams out they share at
 least o - max(r_x, r_y) prefix grams. A document whose prefix grams are expected to meet many others takes a
-longer prefix, and its pairs then need as many more matches before their full sets are compared. Results are
+longer prefix, and its pairs then need as many more matches before their full sets are compared. Near copies would
+match in every bucket of grams: a pair that has the same leading gram meets at that one alone. Results are
 exact (for 48-bit gram hashes) whatever the sketch says. Documents of equal sets are joined as one.
 """
 
@@ -94,21 +95,37 @@ def prefix_length(size: int, counts: np.ndarray, t: float, usual: float) -> int:
     return best
 
 
+_FACTS = np.dtype([("id", "<i8"), ("one", "<u4"), ("two", "<u4"), ("step", "u1")])
+
+
+def leaders(g: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two grams of each prefix (their upper halves), the least in two random orders; near copies mostly have the same."""
+    low = g >> np.uint64(32)
+    keys = (mix(low ^ np.uint64(seed)) & np.uint64(0xFFFFFFFF00000000) | low for seed in (0x1D5, 0x7E3))
+    return [(np.minimum.reduceat(k, first) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if len(first) else np.zeros(0, np.uint32) for k in keys]
+
+
 def _prefixes(n: int, t: float, bits: int, buckets: int, levels, usual: float):
     """Packed prefix grams by bucket, and (doc_id, size, rest) of each document (bucket -1)."""
 
     def flush(held):
+        """Blobs of a bucket's prefix grams by document: counts, size steps, leaders and ids, then the grams."""
         if not held:
             return
-        g, ids, sizes = (np.concatenate(x) for x in zip(*held))
+        g, doc, facts = [], [], []
+        for x, d, f in held:
+            g.append(x), doc.append(d + sum(map(len, facts))), facts.append(f)
+        g, doc, facts = np.concatenate(g), np.concatenate(doc), np.concatenate(facts)
         bucket = (g % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket, kind="stable")  # documents stay together
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in range(buckets):
             o = order[edges[k] : edges[k + 1]]
             if len(o):
-                planes = ids[o].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                packed = (g[o] >> np.uint64(32)).astype("<u4").tobytes() + sizes[o].tobytes() + planes
+                own, size = np.unique(doc[o], return_counts=True)
+                f = facts[own]
+                ids = np.ascontiguousarray(f["id"]).view(np.uint8).reshape(-1, 8).T.tobytes()
+                packed = np.array([len(own)], "<u4").tobytes() + size.astype("<u4").tobytes() + f["one"].tobytes() + f["two"].tobytes() + f["step"].tobytes() + ids + (g[o] >> np.uint64(32)).astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary()), *[pa.array([None], pa.int64())] * 3], ["bucket", "packed", "doc_id", "size", "rest"])
 
     def run(batches):
@@ -126,9 +143,12 @@ def _prefixes(n: int, t: float, bits: int, buckets: int, levels, usual: float):
             p = np.array([prefix_length(int(size[d]), counts[first[d] : first[d + 1]], t, usual) if size[d] else 0 for d in range(len(ids))])
             within = np.arange(len(g)) - first[doc] < p[doc]
             steps = np.floor(np.log(np.maximum(size, 1)) / np.log(SIZE_STEP)).astype(np.uint8)
-            held.append((g[within], ids[doc[within]], steps[doc[within]]))
-            count += int(within.sum())
             has = size > 0
+            facts = np.zeros(len(ids), _FACTS)
+            facts["id"], facts["step"] = ids, steps
+            facts["one"][has], facts["two"][has] = leaders(g[within], np.concatenate([[0], np.cumsum(p[has])[:-1]]))
+            held.append((g[within], doc[within], facts))
+            count += int(within.sum())
             m = int(has.sum())
             yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), pa.array([None] * m, pa.binary()), pa.array(ids[has]), pa.array(size[has].astype(np.int64)), pa.array((size - p)[has].astype(np.int64))], ["bucket", "packed", "doc_id", "size", "rest"])
             if count > FLUSH_GRAMS:
@@ -169,29 +189,42 @@ def _pairs_of_runs(g, ids, steps, far: int) -> Iterator[tuple[np.ndarray, np.nda
                     begin = stop
 
 
+#: matches that stand for any number
+SURE = 1 << 24
+
+
 def _match(t: float, parts_out: int):
     far = int(np.ceil(np.log(1 / t) / np.log(SIZE_STEP))) + 1
 
     def joined(blobs):
-        g, steps, ids = [], [], []
+        g, facts = [], []
         for x in blobs:
-            m = len(x) // 13
-            g.append(np.frombuffer(x, "<u4", m))
-            steps.append(np.frombuffer(x, np.uint8, m, 4 * m))
-            ids.append(np.frombuffer(x, np.uint8, 8 * m, 5 * m).reshape(8, m).T.copy().view("<i8").ravel())
-        g, steps, ids = (np.concatenate(x) for x in (g, steps, ids))
-        order = np.lexsort((steps, g))
-        g, steps, ids = g[order], steps[order], ids[order]
+            k = int(np.frombuffer(x, "<u4", 1)[0])
+            size = np.frombuffer(x, "<u4", k, 4)
+            f = np.zeros(k, _FACTS)
+            f["one"], f["two"], f["step"] = np.frombuffer(x, "<u4", k, 4 + 4 * k), np.frombuffer(x, "<u4", k, 4 + 8 * k), np.frombuffer(x, np.uint8, k, 4 + 12 * k)
+            f["id"] = np.frombuffer(x, np.uint8, 8 * k, 4 + 13 * k).reshape(8, k).T.copy().view("<i8").ravel()
+            g.append(np.frombuffer(x, "<u4", int(size.sum()), 4 + 21 * k))
+            facts.append(np.repeat(f, size))
+        g, facts = np.concatenate(g), np.concatenate(facts)
+        order = np.lexsort((facts["step"], g))
+        g, facts = g[order], facts[order]
+        steps, ids, one, two = (np.ascontiguousarray(facts[k]) for k in ("step", "id", "one", "two"))
+        del facts
         name, local = np.unique(ids, return_inverse=True)
         width, parts, held = np.int64(len(name)), [], 0
         for a, b in _pairs_of_runs(g, ids, steps, far):
-            x, y = local[a], local[b]
-            parts.append(np.minimum(x, y) * width + np.maximum(x, y))
+            # a pair with a leader in common is a candidate, and is sent from there and nowhere else
+            same_one, same_two = one[a] == one[b], two[a] == two[b]
+            sure = same_one & (g[a] == one[a]) | ~same_one & same_two & (g[a] == two[a])
+            sent = sure | ~(same_one | same_two)
+            x, y, sure = local[a[sent]], local[b[sent]], sure[sent]
+            parts.append((np.minimum(x, y) * width + np.maximum(x, y), np.where(sure, SURE, 1)))
             held += len(x)
             if held > HELD_PAIRS:
                 yield from _packed_pairs(name, width, parts, parts_out)
                 parts, held = [], 0
-        if parts:
+        if held:
             yield from _packed_pairs(name, width, parts, parts_out)
 
     def run(batches):
@@ -214,9 +247,10 @@ def _unplaned(data: bytes, m: int, at: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8, 8 * m, at).reshape(8, m).T.copy().view("<i8").ravel())
 
 
-def _packed_pairs(name: np.ndarray, width: np.int64, parts: list[np.ndarray], out: int) -> Iterator[pa.RecordBatch]:
+def _packed_pairs(name: np.ndarray, width: np.int64, parts: list[tuple[np.ndarray, np.ndarray]], out: int) -> Iterator[pa.RecordBatch]:
     """Pairs with their matches so far, packed by the part that sums up those of the pair's first document."""
-    key, count = np.unique(np.concatenate(parts), return_counts=True)
+    key, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    count = np.minimum(np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64), 2 * SURE)
     a, b = name[key // width], name[key % width]
     part = (mix(a.astype(np.uint64)) % np.uint64(out)).astype(np.int64)
     order = np.argsort(part, kind="stable")
