@@ -148,7 +148,7 @@ def least_budget(tokens: dict[tuple, int], weights: dict[str, float]) -> int:
 
 
 def solve(tokens: dict[tuple, int], weights: dict[str, float], budget: int | None = None, costs: tuple[int, ...] = EPOCH_COSTS) -> Mix:
-    """tokens by pattern (a sorted tuple of source names) and weights by source; without a budget the least_budget()."""
+    """tokens by pattern (a sorted tuple of source names) and weights by source; without a budget the least_budget(). Documents of no source are taken once, outside the mix."""
     total = sum(weights.values())
     weights = {s: w / total for s, w in weights.items()} if total else {}
     budget = least_budget(tokens, weights) if budget is None else budget
@@ -158,6 +158,8 @@ def solve(tokens: dict[tuple, int], weights: dict[str, float], budget: int | Non
     epochs = {p: sum(g.flow(e) for e in feeds[p]) / n if p in feeds else 0.0 for p, n in tokens.items()}
     if budget and least_fit(epochs, tokens):
         epochs = {p: max(1.0, x) if x > 0.999 else x for p, x in epochs.items()}
+    if () in epochs:
+        epochs[()] = 1.0
     return Mix(epochs, {k: g.flow(e) for k, e in routes.items() if g.flow(e)}, quota)
 
 
@@ -194,8 +196,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     """docs with the columns __times (how often a row is taken, 0 or more) and __tokens, and the plan.
 
     weights: by source name as in membership(); None for natural_weights(). Without a budget no document is lost:
-    quotas are as small as leaves room for all once, and reach their weights by repeats. A row of no weighted
-    source is taken never. A null doc_id draws by its text. Repeated rows draw alike. Empty docs: an empty plan.
+    quotas are as small as leaves room for all once, and reach their weights by repeats. A row of no source at all is
+    outside the mix and taken once; one whose sources all have no weight is taken never. A null doc_id draws by its text. Repeated rows draw alike. Empty docs: an empty plan.
     """
     rows = docs.withColumns({"__pattern": membership(docs), "__tokens": tokens_of(docs)})
     found = rows.groupBy("__pattern").agg(F.sum("__tokens").alias("n")).collect()  # one row for each set of sources

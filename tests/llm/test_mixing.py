@@ -51,7 +51,7 @@ def test_weights_and_repeats():
     half = M.solve(tokens, {"x": 1, "y": 1}, budget=200)
     assert sum(half.flow.values()) == 200 and all(e <= 1 for e in half.epochs.values())
     assert M.solve({}, {}).epochs == {}
-    assert M.solve({(): 10, ("x",): 5}, {"x": 1}).epochs[()] == 0
+    assert M.solve({(): 10, ("x",): 5}, {"x": 1}).epochs[()] == 1
 
 
 def test_hard_rows(hard):
@@ -61,8 +61,10 @@ def test_hard_rows(hard):
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], set()).add(r["__times"])
-    assert len(by[2]) == 1 and by[3] == {0}  # repeated rows draw alike; no source, never taken
-    assert all(r["__times"] >= 1 for r in got if r["lang"] or r["source"])
+    assert len(by[2]) == 1 and by[3] == {1}  # repeated rows draw alike; no source, taken once
+    assert all(r["__times"] >= 1 for r in got)
+    some = M.mix(hard, {"lang:en": 1.0})[0].collect()
+    assert all((r["__times"] >= 1) == (r["lang"] == "en" or not r["lang"] and not r["source"]) for r in some)
     assert M.mixed_rows(hard).columns == hard.columns
     assert M.mixed_rows(hard.limit(0)).count() == 0
 
