@@ -30,8 +30,11 @@ OF_EVENT = {"signup": "planned", "view": "preflight_validated", "click": "moving
 
 
 def of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_ledger(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_ledger(t: DataFrame) -> DataFrame:
     """events as a ledger: entity, sequence, state, amount, at."""
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
     state = F.create_map(*[F.lit(x) for kv in OF_EVENT.items() for x in kv])[F.col("event_type")]
     return t.select(F.col("user_id").alias("entity"), F.col("event_id").alias("sequence"), state.alias("state"), F.col("value").alias("amount"), F.col("ts").alias("at"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,10 @@ from pyspark.sql import functions as F
 from echofold.functions import text as T
 from echofold.functions.blake3 import blake3
 from echofold.operators import detect, filters, history, keep, ledger, plan, progress, report
+from echofold.sources import files
 from echofold.sources import inventory as I
+from echofold.sources.synthetic import synthetic
+from echofold.streaming import incremental
 
 PRIMARY = ("/src1",)
 FILTER = filters.FilterConfig(include=("pdf",), globs=("**/cache/**",), minimum=100)
@@ -572,3 +578,34 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return report.constraint_violations(docs, [["doc_id"], ["lang"]], {"source": ("src0",)}, ("doc_id",), ("n_chars",))
+
+
+# ------------------------------------------------------------------------------ files, made inventories, streams
+
+
+@query("file_inventory")
+def _(spark, sf_dir):
+    return files.read_files(spark, os.path.realpath(sf_dir)).select("path", "extension", "size_bytes", "link_kind", "access_status")
+
+
+@query("synthetic_groups", "select sha256(cast(id // 2 as varchar)) as sha256, count(*) as files from range(100000) t(id) group by 1 having count(*) >= 2")
+def _(spark, sf_dir):
+    return synthetic(spark, 100_000).groupBy("sha256").agg(F.count(F.lit(1)).alias("files")).where("files >= 2")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="echofold-")
+    return f"{root.rstrip('/')}/echofold-stream-{uuid.uuid4().hex}"
+
+
+@query("stream_latest_state", f"with {_LEDGER} select entity, max_by(state, sequence) as state, max(sequence) as sequence from ev group by 1")
+def _(spark, sf_dir):
+    events, shared = spark.read.parquet(f"{sf_dir}/events.parquet"), _shared(spark)
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
+    incremental.upsert(ledger.as_ledger(stream), f"{shared}/table", f"{shared}/checkpoint", ["entity"], "sequence").awaitTermination()
+    return spark.read.parquet(f"{shared}/table/v0").select("entity", "state", "sequence")
