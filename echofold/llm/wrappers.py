@@ -8,6 +8,7 @@ each host, one for each kind of page among them; how often a slot's text recurs
 from __future__ import annotations
 
 import html as html_entities
+import math
 import pickle
 import re
 from collections import Counter
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
 
-#: pages of a host (in hash order) among which leaders and candidate texts are found; the counts cover all pages
+#: pages of a host (in hash order) among which leaders are found; texts are counted over all pages
 LEARNED = 16
 #: pages at least this similar to a leader (matched nodes over mean size) are of its kind
 SIMILAR = 0.5
-#: a slot's text is template if it is on this share of the kind's pages, and on two
-SHARE = 0.2
+#: a slot whose recurring texts are on this share of its pages rotates through them: each is template
+RECURRING = 0.2
+#: elsewhere a text is template if, texts being drawn alike, any of the slot's is on so many pages with this chance
+CHANCE = 0.01
 #: elements that show no text, or by definition none of the page's own
 SILENT = frozenset({"script", "style", "noscript", "template", "head", "iframe", "svg", "nav", "footer", "aside"})
 RAW = frozenset({"script", "style"})
@@ -197,7 +200,7 @@ def text_hash(text: str) -> int:
 
 
 class Wrapper:
-    """A host's leaders with, for each, the texts of its slots that may be template."""
+    """A host's leaders with, for each, the template texts of its slots."""
 
     def __init__(self, leaders: list[str], texts: list[dict[int, set[int]]]):
         self.leaders, self.texts = [Page(x) for x in leaders], texts
@@ -219,19 +222,25 @@ class Wrapper:
         return best, self.matcher.align(page, own, self.leaders[best], self.shapes[best]) if best >= 0 else {}
 
 
-def learn(sources: list[str]) -> tuple[list[str], list[dict[int, set[int]]]]:
-    """Leaders among the pages, and the texts in the slots of each, of its own and of the pages of its kind."""
-    leaders, texts, wrapper = [], [], Wrapper([], [])
+def learn(sources: list[str]) -> list[str]:
+    """Leaders among the pages."""
+    leaders, wrapper = [], Wrapper([], [])
     for source in sources:
         page = Page(source)
-        k, slots = wrapper.kind(page)
-        if k < 0:
-            leaders.append(source), texts.append({})
+        if wrapper.kind(page)[0] < 0:
+            leaders.append(source)
             wrapper.leaders.append(page), wrapper.shapes.append(wrapper.matcher.shapes(page))
-            k, slots = len(leaders) - 1, {i: i for i, x in enumerate(page.label) if x == "#"}
-        for i, slot in slots.items():
-            texts[k].setdefault(slot, set()).add(text_hash(page.text[i]))
-    return leaders, texts
+    return leaders
+
+
+def beyond_chance(most: float, texts: int) -> int:
+    """The least count that any of so many texts, each on most pages on average, reaches by chance with CHANCE or less (Poisson)."""
+    n, term, below = 0, math.exp(-most), 0.0
+    while (1 - below) * texts > CHANCE:
+        below += term
+        n += 1
+        term *= most / n
+    return n
 
 
 def content(page: Page, k: int, slots: dict[int, int], template: list[dict[int, set[int]]]) -> tuple[str, int, int]:
@@ -311,12 +320,20 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, h, x in zip(*(c.to_pylist() for c in b.columns)):
             by.setdefault(host, []).append((h, x))
     for host, pages in by.items():
-        model = pickle.dumps(learn([x for _, x in sorted(set(pages))[:LEARNED]]))
+        leaders = learn([x for _, x in sorted(set(pages))[:LEARNED]])
+        model = pickle.dumps((leaders, [{} for _ in leaders]))
         yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([model], pa.binary())], ["host", "model"])
 
 
-def _counted(rows) -> Iterator[pa.RecordBatch]:
+def _cells(rows, bodies: bool) -> Iterator[pa.RecordBatch]:
+    """Each slot's texts and how many pages have them, at slot -1 the kind's pages. With bodies, once for each body
+    instead: the page's longest other text that isn't known as template. Pages that share it are copies."""
     seen: Counter = Counter()
+
+    def flush():
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(zip(*seen), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))), pa.array(seen.values(), pa.int64())], ["host", "kind", "slot", "text", "body", "n"])
+        seen.clear()
+
     for _, host, x, wrapper in rows:
         if wrapper is None:
             continue
@@ -324,27 +341,61 @@ def _counted(rows) -> Iterator[pa.RecordBatch]:
         k, slots = wrapper.kind(page)
         if k < 0:
             continue
-        seen[host, k, -1, 0] += 1
+        hashes = {node: text_hash(page.text[node]) for node in slots}
+        own = {page.text[node] for node, slot in slots.items() if hashes[node] not in wrapper.texts[k].get(slot, ())} if bodies else ()
+        longest = [text_hash(t) for t in sorted(own, key=lambda t: (-len(t), t))[:2]] + [0, 0]
+        if not bodies:
+            seen[host, k, -1, 0, 0] += 1
         for node, slot in slots.items():
-            h = text_hash(page.text[node])
-            if h in wrapper.texts[k].get(slot, ()):
-                seen[host, k, slot, h] += 1
-    cells = list(seen)
-    for i in range(0, len(cells), 100_000):
-        part = cells[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([*(pa.array([c[j] for c in part], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))), pa.array([seen[c] for c in part], pa.int64())], ["host", "kind", "slot", "text", "n"])
+            h = hashes[node]
+            seen[host, k, slot, h, longest[h == longest[0]] if bodies else 0] += 1
+        if len(seen) > 100_000:
+            yield from flush()
+    if seen:
+        yield from flush()
 
 
-def _decided(key, models: pa.Table, counts: pa.Table) -> pa.Table:
-    """The model with only those texts that recur often enough."""
+_CELLS = "host string, kind int, slot int, text long, body long, n long"
+
+
+def _common(key, models: pa.Table, counts: pa.Table) -> pa.Table:
+    """The model with the texts that more than half of a kind's pages have in one slot."""
     out = []
     for x in models["model"].to_pylist():
-        leaders, texts = pickle.loads(x)
+        leaders, _ = pickle.loads(x)
         rows = list(zip(*(counts[c].to_pylist() for c in ("kind", "slot", "text", "n"))))
         pages = {k: n for k, slot, _, n in rows if slot < 0}
         often: list[dict[int, set[int]]] = [{} for _ in leaders]
         for k, slot, h, n in rows:
-            if slot >= 0 and n >= max(2, SHARE * pages[k]):
+            if slot >= 0 and 2 * n > pages[k]:
+                often[k].setdefault(slot, set()).add(h)
+        out.append(pickle.dumps((leaders, often)))
+    return pa.table({"host": models["host"], "model": pa.array(out, pa.binary())})
+
+
+def _recurring(cells: DataFrame) -> DataFrame:
+    """(host, kind, slot, text, n): the texts of more than one page; with a null text the slot's pages, and its texts as seen."""
+    each = cells.groupBy("host", "kind", "slot", "text").agg(F.count_distinct("body").alias("n"))
+    each = Scratch(cells.sparkSession).table(each, "texts")
+    slots = each.groupBy("host", "kind", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.max("n").alias("most")).where("most > 1")
+    return each.where("n > 1").withColumn("texts", F.lit(None).cast("long")).unionByName(slots.drop("most").withColumn("text", F.lit(None).cast("long")))
+
+
+def _decided(key, models: pa.Table, counts: pa.Table) -> pa.Table:
+    """The model with the texts that recur more than chance allows for their slot."""
+    out = []
+    for x in models["model"].to_pylist():
+        leaders, _ = pickle.loads(x)
+        rows = list(zip(*(counts[c].to_pylist() for c in ("kind", "slot", "text", "n", "texts"))))
+        pages = {(k, slot): (n, texts) for k, slot, h, n, texts in rows if h is None}
+        again = Counter()
+        for k, slot, h, n, _ in rows:
+            if h is not None:
+                again[k, slot] += n
+        least = {at: 2 if again[at] >= RECURRING * n else max(2, beyond_chance(n / texts, texts)) for at, (n, texts) in pages.items()}
+        often: list[dict[int, set[int]]] = [{} for _ in leaders]
+        for k, slot, h, n, _ in rows:
+            if h is not None and n >= least[k, slot]:
                 often[k].setdefault(slot, set()).add(h)
         out.append(pickle.dumps((leaders, often)))
     return pa.table({"host": models["host"], "model": pa.array(out, pa.binary())})
@@ -387,8 +438,9 @@ def extract(pages: DataFrame) -> DataFrame:
     first = scratch.table(first.select(F.col("host").alias("wanted_host"), F.col("h").alias("wanted")), "learned")
     chosen = rows.withColumn("h", F.xxhash64("html")).join(broadcast_if_small(first, 60), (F.col("host") == F.col("wanted_host")) & (F.col("h") == F.col("wanted")), "left_semi")
     models = scratch.table(chosen.select("host", "h", "html").repartition(parts, "host").mapInArrow(_learned, "host string, model binary"), "models")
-    counts = _with_models(rows, models, _counted, "host string, kind int, slot int, text long, n long")
-    counts = scratch.table(counts.groupBy("host", "kind", "slot", "text").agg(F.sum("n").alias("n")), "counts")
+    once = _with_models(rows, models, lambda x: _cells(x, False), _CELLS).groupBy("host", "kind", "slot", "text").agg(F.sum("n").alias("n")).where("n > 1 or slot < 0")
+    models = scratch.table(models.groupBy("host").cogroup(once.groupBy("host")).applyInArrow(_common, "host string, model binary"), "common")
+    counts = _recurring(_with_models(rows, models, lambda x: _cells(x, True), _CELLS))
     wrappers = scratch.table(models.groupBy("host").cogroup(counts.groupBy("host")).applyInArrow(_decided, "host string, model binary"), "wrappers")
     return _with_models(rows, wrappers, _extracted, "page_id long, host string, content string, n_content int, n_template int")
 

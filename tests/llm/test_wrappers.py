@@ -83,3 +83,23 @@ def test_extraction(spark, monkeypatch):
     monkeypatch.setattr(W, "MODEL_BYTES", -1)  # pages go to the models
     monkeypatch.setattr(W, "SALT_PAGES", 7)
     check(extracted(spark)[1])
+
+
+def ads(n, texts):
+    return [(k, f"http://ads.example/{k}", f"<div class=ad>Buy {k * 7 % texts} now</div><article><h1>Title {k}</h1><p>text of page {k}</p></article>") for k in range(n)]
+
+
+def test_rotating_texts_are_template_on_a_large_host(spark):
+    rows = W.extract(spark.createDataFrame(ads(240, 60), "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.content for r in rows} == {k: f"Title {k}\ntext of page {k}" for k in range(240)}
+
+
+def test_copies_of_a_page_are_no_recurrence(spark):
+    made = ads(40, 8)
+    made += [(100 + k, u, x.replace("</p>", "</p><i>copy</i>")) for k, u, x in made]
+    rows = W.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert all(r.content.startswith(f"Title {r.page_id % 100}\ntext of page {r.page_id % 100}") and "Buy" not in r.content for r in rows)
+
+
+def test_beyond_chance():
+    assert W.beyond_chance(1.1, 261) == 8 and W.beyond_chance(1.0, 3) < W.beyond_chance(1.0, 3000)
