@@ -2,7 +2,8 @@
 
 Pages of a host are aligned, as DOM trees, with the host's leaders by simple tree matching. A text that sits in
 the same slot of a leader on enough pages is template; what varies is content. Leaders come from a few pages of
-each host, one for each kind of page among them; how often a slot's text recurs is counted over all pages.
+each host, then from pages that none of them resembles until there are none; how often a slot's text recurs is
+counted over all pages.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
 
-#: pages of a host (in hash order) among which leaders are found; texts are counted over all pages
+#: pages of a host (in hash order) among which the first leaders are found; each round takes GROWTH times as many of the pages that no leader resembles
 LEARNED = 16
+GROWTH = 4
 #: pages at least this similar to a leader (matched nodes over mean size) are of its kind
 SIMILAR = 0.5
 #: a slot whose recurring texts are on this share of its pages rotates through them: each is template
@@ -320,11 +322,56 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, h, x in zip(*(c.to_pylist() for c in b.columns)):
             by.setdefault(host, []).append((h, x))
     for host, pages in by.items():
-        leaders = learn([x for _, x in sorted(set(pages))[:LEARNED]])
+        leaders = learn([x for _, x in sorted(set(pages))])
         model = pickle.dumps((leaders, [{} for _ in leaders]))
         yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([model], pa.binary())], ["host", "model"])
 
 
+def _unlike(rows) -> Iterator[pa.RecordBatch]:
+    """The pages that no leader of their host resembles."""
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), (pa.int64(), pa.string(), pa.string()))], ["page_id", "host", "html"])
+
+    for i, host, x, wrapper in rows:
+        if wrapper is not None and wrapper.kind(Page(x))[0] < 0:
+            held.append((i, host, x))
+            size += len(x)
+            if size > 4 << 20:
+                yield batch()
+                held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _joined(models: pa.Table) -> pa.Table:
+    """One model of a host's leaders of all rounds."""
+    leaders = [x for _, m in sorted(zip(models["round"].to_pylist(), models["model"].to_pylist())) for x in pickle.loads(m)[0]]
+    return pa.table({"host": models["host"][:1], "model": pa.array([pickle.dumps((leaders, [{} for _ in leaders]))], pa.binary())})
+
+
+def _leaders(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, model): leaders that every page of the host with an html resembles one of. Each round's are among pages unlike all before."""
+    parts, models, most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), None, LEARNED
+    rows = rows.where("host is not null and html is not null")
+    while True:
+        hashed = rows.select("host", F.xxhash64("html").alias("h")).distinct()
+        first = hashed.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("r") <= most)
+        first = scratch.table(first.select(F.col("host").alias("wanted_host"), F.col("h").alias("wanted")), "learned")
+        chosen = rows.withColumn("h", F.xxhash64("html")).join(broadcast_if_small(first, 60), (F.col("host") == F.col("wanted_host")) & (F.col("h") == F.col("wanted")), "left_semi")
+        new = scratch.table(chosen.select("host", "h", "html").repartition(parts, "host").mapInArrow(_learned, "host string, model binary"), "models")
+        if models is None:
+            models = new
+        else:
+            both = models.withColumn("round", F.lit(0)).unionByName(new.withColumn("round", F.lit(1)))
+            models = scratch.table(both.groupBy("host").applyInArrow(_joined, "host string, model binary"), "models")
+        rows = scratch.table(_with_models(rows, new, _unlike, "page_id long, host string, html string"), "unlike")
+        if rows.isEmpty():
+            return models
+        most *= GROWTH
+
+
 def _cells(rows, bodies: bool) -> Iterator[pa.RecordBatch]:
     """Each slot's texts and how many pages have them, at slot -1 the kind's pages. With bodies, once for each body
     instead: the page's longest other text that isn't known as template. Pages that share it are copies."""
@@ -424,7 +471,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, host, content, n_content, n_template): a page's text without its host's template, and how many text nodes were content and template.
 
     One row for each row. The host is the URL's in lower case. Without one (null or broken URL), and for a page
-    unlike all leaders of its host, all visible text is content. A null or empty html gives the empty text. Broken
+    unlike all others of its host, all visible text is content. A null or empty html gives the empty text. Broken
     markup is read as it stands: unclosed elements end with their parent, stray end tags are dropped. Other columns
     are ignored; an empty table gives none.
     """
@@ -432,12 +479,7 @@ def extract(pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(host != "", host).alias("host"), "html")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = rows.where("host is not null and html is not null").select("host", F.xxhash64("html").alias("h")).distinct()
-    first = hashed.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("r") <= LEARNED)
-    first = scratch.table(first.select(F.col("host").alias("wanted_host"), F.col("h").alias("wanted")), "learned")
-    chosen = rows.withColumn("h", F.xxhash64("html")).join(broadcast_if_small(first, 60), (F.col("host") == F.col("wanted_host")) & (F.col("h") == F.col("wanted")), "left_semi")
-    models = scratch.table(chosen.select("host", "h", "html").repartition(parts, "host").mapInArrow(_learned, "host string, model binary"), "models")
+    models = _leaders(rows, scratch)
     once = _with_models(rows, models, lambda x: _cells(x, False), _CELLS).groupBy("host", "kind", "slot", "text").agg(F.sum("n").alias("n")).where("n > 1 or slot < 0")
     models = scratch.table(models.groupBy("host").cogroup(once.groupBy("host")).applyInArrow(_common, "host string, model binary"), "common")
     counts = _recurring(_with_models(rows, models, lambda x: _cells(x, True), _CELLS))

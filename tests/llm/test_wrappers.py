@@ -103,3 +103,13 @@ def test_copies_of_a_page_are_no_recurrence(spark):
 
 def test_beyond_chance():
     assert W.beyond_chance(1.1, 261) == 8 and W.beyond_chance(1.0, 3) < W.beyond_chance(1.0, 3000)
+
+
+def test_rare_kinds_have_leaders(spark):
+    made = ads(400, 8)
+    for kind in range(12):  # each is 1.5 % of the host
+        tags = [f"x{kind}a", f"x{kind}b", f"x{kind}c"]
+        made += [(1000 + 100 * kind + k, f"http://ads.example/{kind}/{k}", "".join(f"<{t}>Notice {t}</{t}>" for t in tags) + f"<x{kind}>rare {kind} page {k}</x{kind}>") for k in range(8)]
+    rows = W.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(made)
+    assert all(r.content == f"rare {(r.page_id - 1000) // 100} page {r.page_id % 100}" and r.n_template == 3 for r in rows if r.page_id >= 1000)
