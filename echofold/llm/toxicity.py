@@ -84,19 +84,22 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def poisson_p_value(scores: list[float], n: int, decay: float, scale: float, floor: float = 0.0) -> float:
     """p-value of the best r segments together: segments of at least the r-th score come as a Poisson variable of
     mean K n exp(-lambda score). The smallest over r, with weights 1/2, 1/4, ... for having looked at all r."""
-    best, gone, expected = 1.0, 0.0, 0.0
+    best = 0.0  # logarithm
+    rate = math.log(scale * n) if scale * n > 0 else -math.inf
     for r, s in enumerate(sorted((x for x in scores if x >= floor), reverse=True), 1):
-        expected = scale * n * math.exp(-decay * s)
-        if expected >= r or r > 40:
-            break
-        term = gone = math.exp(-expected + r * math.log(expected) - math.lgamma(r + 1)) if expected > 0 else 0.0
+        mean = rate - decay * s
+        expected = math.exp(min(mean, 700.0))
+        first = r * (mean + math.log(2)) - expected - math.lgamma(r + 1)
+        if expected >= r or first >= best:  # the sum is no less than its first term
+            continue
+        term = total = 1.0
         i = r + 1
-        while term > 1e-17 * gone:
+        while term > 1e-17 * total:
             term *= expected / i
-            gone += term
+            total += term
             i += 1
-        best = min(best, gone * 2.0**r)
-    return best
+        best = min(best, first + math.log(total))
+    return math.exp(best)
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,13 @@ def test_hard_rows(spark, hard):
     nothing = T.fit(hard, labels.limit(0))
     assert T.toxic_passages(hard, nothing).count() == 0 and T.drop_toxic(hard, nothing).count() == hard.count()
     assert T.drop_toxic(hard.limit(0), nothing).count() == 0
+
+
+def test_many_weak_passages_together():
+    def tail(r, mean):  # P(Poisson >= r)
+        return sum(np.exp(k * np.log(mean) - mean - sum(np.log(np.arange(1, k + 1)))) for k in range(r, r + 80))
+
+    for r in (20, 60):
+        assert np.isclose(T.poisson_p_value([0.0] * r, 1, 1.0, 1.5), tail(r, 1.5) * 2.0**r, rtol=1e-6)
+    assert np.isclose(T.poisson_p_value([2.0], 100, 1.0, 0.01), 2 * -np.expm1(-np.exp(-2.0)))
+    assert T.poisson_p_value([], 5, 1.0, 1.0) == 1.0 == T.poisson_p_value([0.1], 50, 1.0, 1.0)
