@@ -78,10 +78,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all columns of docs (whatever the case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """docs without the ids of a one-column table; rows with a null id stay."""
-    ids = ids.select(F.col(ids.columns[0]).alias("__drop_id")).where("__drop_id is not null").distinct()
-    return docs.join(broadcast_if_small(ids, 16), docs[column] == F.col("__drop_id"), "left_anti")
+    (name,) = free_names(docs, "__drop_id")
+    ids = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
+    return docs.join(broadcast_if_small(ids, 16), docs[column] == F.col(name), "left_anti")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,35 +118,39 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 #: ASCII letters and digits, and every byte of a non-ASCII character
 WORD = np.zeros(256, bool)
 WORD[128:] = True
 for _a, _b in (("a", "z"), ("A", "Z"), ("0", "9")):
     WORD[ord(_a) : ord(_b) + 1] = True
-WORD_BYTE = np.where(WORD, BYTE, np.uint64(0))
-_powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, wherever it lies; the length is mixed in.
 
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, wherever it lies; spans are sorted and don't overlap. The length is mixed in."""
+    Each block of 8 bytes is mixed, then mixed again with its place in the span, before blocks are added up: no sum of
+    bytes times powers, in which structured texts (as Thue-Morse words) would meet whatever the base.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    v = (BYTE[data] if values is None else values) * powers(_BASE, len(data))
-    total = np.zeros(len(v) + 1, np.uint64)
-    np.cumsum(v, out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _M2)
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    blocks = np.maximum((size + 7) >> 3, 1)
+    if int(blocks.max()) == 1:  # words mostly
+        h = mix(mix(_masked(loads[starts], size)) + np.uint64(_BASE))
+    else:
+        first = np.cumsum(blocks) - blocks
+        k = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        x = _masked(loads[np.repeat(starts, blocks) + 8 * k], np.repeat(size, blocks) - 8 * k)
+        h = np.add.reduceat(mix(mix(x) + (k + 1).astype(np.uint64) * np.uint64(_BASE)), first)
+    return mix(h + size.astype(np.uint64) * _M2)
+
+
+def _masked(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Little-endian loads of which the first so many bytes count, 8 at most."""
+    one = np.uint64(1)
+    return x & np.where(size >= 8, ~np.uint64(0), (one << (8 * np.clip(size, 0, 7)).astype(np.uint64)) - one)
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents
+from .common import Scratch, broadcast_if_small, documents, free_names
 
 SEED = 11
 #: exponent that flattens the sources' natural shares into target weights
@@ -110,11 +110,13 @@ class Network:
 
 @dataclass
 class Mix:
-    """epochs: how often the documents of each pattern are taken; flow: tokens by (pattern, source); quota: tokens by source."""
+    """epochs: how often the documents of each pattern are taken; flow: tokens by (pattern, source); quota: tokens by source;
+    columns: the names that mix() gave to times, tokens and pattern."""
 
     epochs: dict[tuple, float]
     flow: dict[tuple[tuple, str], int]
     quota: dict[str, int]
+    columns: tuple[str, str, str] = ("__times", "__tokens", "__pattern")
 
 
 def _network(tokens: dict[tuple, int], quota: dict[str, int], costs: tuple[int, ...], endless: bool) -> tuple[Network, dict, dict]:
@@ -138,7 +140,7 @@ def least_budget(tokens: dict[tuple, int], weights: dict[str, float]) -> int:
     live = {p: n for p, n in tokens.items() if n and any(weights.get(s, 0) > 0 for s in p)}
     need = sum(live.values())
     fits = lambda total: _network(live, {s: int(total * w) for s, w in weights.items()}, (0,), False)[0].run(0, 1)[0] >= need
-    low, high = need, need + len(weights)
+    low, high = need - 1, need + len(weights)  # what is low doesn't fit
     while need and not fits(high):
         low, high = high, 2 * high
     while high - low > max(1, need // 10_000):
@@ -192,33 +194,57 @@ def natural_weights(tokens: dict[tuple, int], temperature: float = TEMPERATURE)
     return out
 
 
+def _measured(docs: DataFrame, pattern: str, size: str, draw: str, seed: int) -> DataFrame:
+    drawn = F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), docs["text"]), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return docs.withColumns({pattern: membership(docs), size: tokens_of(docs), draw: drawn})
+
+
+def _taken(rows: DataFrame, plan: Mix, draw: str) -> DataFrame:
+    """rows of _measured() with how often each is taken."""
+    times, size, pattern = plan.columns
+    key, share = free_names(rows, "__key", "__epochs")
+    table = rows.sparkSession.createDataFrame([(list(p), float(x)) for p, x in plan.epochs.items()], f"`{key}` array<string>, `{share}` double")
+    rows = rows.join(broadcast_if_small(table, 200), F.col(pattern) == F.col(key), "left")
+    epochs = F.coalesce(share, F.lit(0.0))
+    taken = (F.floor(epochs) + (F.col(draw) < epochs - F.floor(epochs)).cast("int")).cast("int")
+    return rows.withColumn(times, taken).drop(key, share, draw)
+
+
+def _plan(rows: DataFrame, columns: tuple[str, str, str], weights: dict[str, float] | None, budget: int | None) -> Mix:
+    found = rows.groupBy(columns[2]).agg(F.sum(columns[1]).alias("n")).collect()  # one row for each set of sources
+    tokens = {tuple(r[0]): int(r["n"]) for r in found}
+    plan = solve(tokens, natural_weights(tokens) if weights is None else weights, budget)
+    plan.columns = columns
+    return plan
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: int = SEED) -> tuple[DataFrame, Mix]:
-    """docs with the columns __times (how often a row is taken, 0 or more) and __tokens, and the plan.
+    """docs with the columns __times (how often a row is taken, 0 or more), __tokens and __pattern, and the plan.
 
     weights: by source name as in membership(); None for natural_weights(). Without a budget no document is lost:
     quotas are as small as leaves room for all once, and reach their weights by repeats. A row of no source at all is
-    outside the mix and taken once; one whose sources all have no weight is taken never. A null doc_id draws by its text. Repeated rows draw alike. Empty docs: an empty plan.
+    outside the mix and taken once; one whose sources all have no weight is taken never. A null doc_id draws by its
+    text. A null or empty text counts one token. Repeated rows draw alike. Empty docs: no rows, an empty plan.
+    If docs has a column of one of the three names, the new one gets a further underscore (plan.columns has the names).
+    A job that adds up tokens by set of sources runs while the plan is built.
     """
-    rows = docs.withColumns({"__pattern": membership(docs), "__tokens": tokens_of(docs)})
-    found = rows.groupBy("__pattern").agg(F.sum("__tokens").alias("n")).collect()  # one row for each set of sources
-    tokens = {tuple(r[0]): int(r["n"]) for r in found}
-    plan = solve(tokens, natural_weights(tokens) if weights is None else weights, budget)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(list(p), float(x)) for p, x in plan.epochs.items()], "__key array<string>, __epochs double")
-    draw = F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), docs["text"]), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = rows.withColumn("__draw", draw).join(broadcast_if_small(table, 200), F.col("__pattern") == F.col("__key"), "left")
-    epochs = F.coalesce("__epochs", F.lit(0.0))
-    times = (F.floor(epochs) + (F.col("__draw") < epochs - F.floor(epochs)).cast("int")).cast("int")
-    return rows.withColumn("__times", times).drop("__key", "__epochs", "__draw"), plan
+    times, size, pattern, draw = free_names(docs, "__times", "__tokens", "__pattern", "__draw")
+    rows = _measured(docs, pattern, size, draw, seed)
+    plan = _plan(rows, (times, size, pattern), weights, budget)
+    return _taken(rows, plan, draw), plan
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with each row as many times as the mix takes it; same columns."""
-    rows, _ = mix(docs, weights, budget, seed)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns) if docs.columns else docs
+    """docs with each row as many times as the mix takes it, never if that is 0; same columns. Nulls, ties, repeated rows and empty docs as in mix()."""
+    rows, plan = mix(docs, weights, budget, seed)
+    times = plan.columns[0]
+    (copy,) = free_names(rows, "__copy")
+    return rows.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pattern, tokens and times for every document."""
-    rows, _ = mix(documents(spark, sf_dir))
-    return rows.select("doc_id", F.array_join("__pattern", "+").alias("pattern"), F.col("__tokens").alias("tokens"), F.col("__times").alias("times"))
+    """doc_id, pattern, tokens and times for every document. Texts are read once: their words and draws are written, and read by both steps."""
+    rows = _measured(documents(spark, sf_dir), "pattern", "tokens", "draw", SEED).select("doc_id", "pattern", "tokens", "draw")
+    rows = Scratch(spark).table(rows, "measured")
+    rows = _taken(rows, _plan(rows, ("times", "tokens", "pattern"), None, None), "draw")
+    return rows.select("doc_id", F.array_join("pattern", "+").alias("pattern"), "tokens", "times")

@@ -29,6 +29,24 @@ def test_trie_is_exact_and_spills(tmp_path):
     assert not os.listdir(tmp_path)
 
 
+def test_heavy_terminals_end(tmp_path):
+    """One string longer than the budget, and more ids of one string than it holds."""
+    for key, ids in ((b"x" * 5000, [3, 1]), (b"ab", list(range(2000))), (b"", list(range(2000)))):
+        trie = X.PatriciaTrie(1000, f"file://{tmp_path}")
+        for i in ids:
+            trie.insert(key, [i])
+            trie.insert(b"abcd%d" % (i % 50), [10_000 + i])
+        got = {least: sorted(found) for least, found in trie.owners()}
+        assert got[min(ids)] == sorted(ids) and sum(map(len, got.values())) == 2 * len(ids)
+    assert not os.listdir(tmp_path)
+
+
+def test_names_of_its_own(hard):
+    docs = hard.withColumnRenamed("times", "__drop_id").withColumnRenamed("tokens", "__again")
+    assert X.exact_dedup(docs).columns == docs.columns
+    assert X.exact_dedup(docs).count() == X.exact_dedup(hard).count()
+
+
 def test_hard_rows(hard):
     rows = [(r.doc_id, r.text) for r in hard.select("doc_id", "text").collect()]
     assert sorted(map(tuple, X.exact_owners(hard).collect())) == brute(rows)

@@ -69,6 +69,30 @@ def test_hard_rows(hard):
     assert M.mixed_rows(hard.limit(0)).count() == 0
 
 
+def test_rows_of_no_weight_go(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "a b", "de", "s"), (3, "c", "de", "t")], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in M.mixed_rows(docs, {"lang:en": 1.0}).collect()] == [1]
+
+
+def test_rows_follow_the_plan(spark):
+    """Every row by definition: whole epochs of its pattern, and one more if its draw is below the fraction."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnsRenamed({"n_chars": "__copy"})
+    docs = docs.selectExpr("*", "1 as __times", "2 as __pattern")
+    rows, plan = M.mix(docs, budget=20_000)
+    times, size, pattern = plan.columns
+    got, tokens = rows.collect(), {}
+    for r in got:
+        key = tuple(sorted({f"lang:{r.lang}", f"source:{r.source}"}))
+        assert tuple(r[pattern]) == key and r[size] == max(1, len(r.text.split()))
+        assert r[times] - plan.epochs[key] < 1 and plan.epochs[key] - r[times] < 1
+        tokens[key] = tokens.get(key, 0) + r[size]
+    assert M.solve(tokens, M.natural_weights(tokens), 20_000).epochs == plan.epochs
+    want = sorted(r.doc_id for r in got for _ in range(r[times]))
+    mixed = M.mixed_rows(docs, budget=20_000)
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == want
+    assert 0 < len(want) != len(got)
+
+
 def test_selection_meets_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows, plan = M.mix(docs)
