@@ -4,8 +4,10 @@ Grams have one global order: rare first, by a sketch of how many documents hold
 share o = ceil(t / (1 + t) (|x| + |y|)) grams, so with prefixes that leave r_x and r_y grams out they share at
 least o - max(r_x, r_y) prefix grams. A document whose prefix grams are expected to meet many others takes a
 longer prefix, and its pairs then need as many more matches before their full sets are compared. Near copies would
-match in every bucket of grams: a pair that has the same leading gram meets at that one alone. Results are
-exact (for 48-bit gram hashes) whatever the sketch says. Documents of equal sets are joined as one.
+match in every bucket of grams: a pair that has the same leading gram meets at that one alone, and is verified
+whatever its other matches. Results don't depend on the sketch; they are exact but for equal hashes of different
+grams (48 bits in the sets, 32 in leaders: a pair is missed or miscounted with probability about 2^-31). Documents of
+equal sets are joined as one.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ FLUSH_GRAMS = 1_500_000
 #: pairs formed at once, and held before they are summed
 BLOCK_PAIRS, HELD_PAIRS = 500_000, 3_000_000
 SIZE_STEP = 1.1
+#: prefix grams of a bucket, and candidate pairs that one task compares: the numbers of both follow the input
+BUCKET_GRAMS, BLOCK_CANDIDATES = 2_000_000, 200_000
 #: of each gram's 64 bits, those that full sets are compared by
 SET_BYTES = 6
 
@@ -291,15 +295,15 @@ def _sets(n: int):
     """For each block that wants a document, the leading SET_BYTES of its sorted grams as byte planes: the first ones hardly change along a set."""
 
     def of(batch):
-        blocks = batch.column(2)
+        blocks, weight = batch.column(2), batch.column(3)
         for ids, g, doc in _gram_sets([batch], n):
             first = np.searchsorted(doc, np.arange(len(ids) + 1))
             planes = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
             packed = pa.array([np.ascontiguousarray(planes[first[i] : first[i + 1]].T).tobytes() for i in range(len(ids))], pa.binary())
-            here = blocks.slice(0, len(ids))
-            blocks = blocks.slice(len(ids))
+            here, own = blocks.slice(0, len(ids)), weight.slice(0, len(ids))
+            blocks, weight = blocks.slice(len(ids)), weight.slice(len(ids))
             row = pc.list_parent_indices(here)
-            yield pa.RecordBatch.from_arrays([here.flatten(), pa.array(ids).take(row), packed.take(row)], ["at", "doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([here.flatten(), pa.array(ids).take(row), own.take(row), packed.take(row)], ["at", "doc_id", "weight", "grams"])
 
     def run(batches):
         for b in batches:
@@ -314,10 +318,13 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _verify(t: float):
+def _verify(t: float, out):
+    """Compares the candidates of a block; out(pairs, shared grams, sizes of the unions, weights by document) makes the result."""
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {i: _unpacked(x) for i, x in zip(right["doc_id"].to_pylist(), right["grams"].to_pylist())}
-        a, b, both, either = [], [], [], []
+        ids = right["doc_id"].to_pylist()
+        sets = {i: _unpacked(x) for i, x in zip(ids, right["grams"].to_pylist())}
+        pairs, both, either = [], [], []
         for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist()):
             one, two = sets[x], sets[y]
             if len(one) > len(two):
@@ -325,39 +332,62 @@ def _verify(t: float):
             at = np.minimum(np.searchsorted(two, one), len(two) - 1)
             k = int((two[at] == one).sum())
             if k >= t * (len(one) + len(two) - k):
-                a.append(x), b.append(y), both.append(k), either.append(len(one) + len(two) - k)
-        shared, union = np.array(both, np.int64), np.array(either, np.int64)
-        return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "shared": pa.array(shared), "jaccard": pa.array(shared / np.maximum(union, 1))})
+                pairs.append((x, y)), both.append(k), either.append(len(one) + len(two) - k)
+        return out(pairs, both, either, dict(zip(ids, right["weight"].to_pylist())))
 
     return run
 
 
-_RESULT = "doc_a long, doc_b long, shared long, jaccard double"
+_PAIRS = "doc_a long, doc_b long, shared long, jaccard double"
 
 
-def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_a, doc_b, shared, jaccard) of all pairs doc_a < doc_b whose sets of word n-grams have Jaccard t or more.
+def _pair_rows(pairs, both, either, weights) -> pa.Table:
+    shared, union = np.array(both, np.int64), np.array(either, np.int64)
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return pa.table({"doc_a": pa.array(a), "doc_b": pa.array(b), "shared": pa.array(shared), "jaccard": pa.array(shared / np.maximum(union, 1))})
 
-    Of documents with equal sets the smallest doc_id stands for all in the pairs, and each other one has a pair
-    with it (jaccard 1), so that many copies give as many rows, not their square. A text of fewer words than n
-    has one gram of all its words; null and wordless texts and rows without a doc_id match nothing. doc_id names
-    a document: rows that repeat it count once. Other columns are ignored; an empty table gives none.
-    """
+
+_LINKS = "doc long, links long, label long"
+
+
+def _link_rows(pairs, both, either, weights) -> pa.Table:
+    """By document of the block: how many documents its pairs reach, and the smallest id that the block connects it to."""
+    links: dict[int, int] = {}
+    above: dict[int, int] = {}
+
+    def top(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for x, y in pairs:
+        links[x], links[y] = links.get(x, 0) + weights[y], links.get(y, 0) + weights[x]
+        p, q = top(above.setdefault(x, x)), top(above.setdefault(y, y))
+        above[max(p, q)] = min(p, q)
+    docs = list(links)
+    return pa.table({"doc": pa.array(docs, pa.int64()), "links": pa.array([links[x] for x in docs], pa.int64()), "label": pa.array([top(x) for x in docs], pa.int64())})
+
+
+def _found(docs: DataFrame, n: int, t: float, bits: int, out, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_a, doc_b, shared) of each doc_b whose set is that of the smaller doc_a, and what out makes of the verified pairs of other documents, by block."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     survey = scratch.table(texts.mapInArrow(_survey(n, bits), _SURVEY), "survey")
-    rows = survey.where("size >= 0").groupBy("one", "two", "size")
-    same = rows.agg(F.min("doc_id").alias("doc_a"), F.collect_set("doc_id").alias("all")).where("size(all) > 1")
-    same = scratch.table(same.select("doc_a", F.explode("all").alias("doc_b"), F.col("size").alias("shared")).where("doc_a <> doc_b"), "equal-sets")
-    parts = survey.where("size < 0").select("doc_id", "part").repartition("doc_id").mapInArrow(_add_parts, "k long, level binary").collect()
+    rows = survey.where("size >= 0").select("doc_id", "one", "two", "size")
+    first = rows.groupBy("one", "two", "size").agg(F.min("doc_id").alias("doc_a"), F.max("doc_id").alias("last")).where("doc_a <> last").drop("last")
+    first = broadcast_if_small(scratch.table(first, "repeated-sets"), 40)
+    same = rows.join(first, ["one", "two", "size"]).where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.col("size").alias("shared")).distinct()
+    same = scratch.table(same, "equal-sets")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_GRAMS))
+    parts = survey.where("size < 0").select("doc_id", "part").repartition("doc_id").mapInArrow(_add_parts, "k long, level binary").collect()  # CHUNKS rows
     scratch.drop(survey)
     levels = np.zeros((CHUNKS, (1 << bits) // CHUNKS), np.uint8)
     for r in parts:
         levels[r.k] = np.frombuffer(zlib.decompress(r.level), np.uint8)
     usual = float(2 ** (np.median(levels) / 8.0) - 1)
     handle = spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     single = drop_ids(texts, same.select("doc_b"))
     index = scratch.table(single.mapInArrow(_prefixes(n, t, bits, buckets, handle, usual), "bucket int, packed binary, doc_id long, size long, rest long"), "prefixes")
     counts = index.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").mapInArrow(_match(t, buckets), "part int, packed binary")
@@ -369,18 +399,65 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int =
     near = F.least("size_a", "size_b") >= F.lit(t) * F.greatest("size_a", "size_b") - 1e-6
     candidates = scratch.table(counts.join(x, "a").join(y, "b").where(near & (F.col("c") >= need)).select("a", "b"), "candidates")
     scratch.drop(index)
+    placed = scratch.table(_placed(candidates, scratch, buckets), "placed")
+    wanted = placed.select(F.col("block").alias("at"), F.col("a").alias("doc_id")).unionByName(placed.select(F.col("block").alias("at"), F.col("b").alias("doc_id"))).distinct()
+    lists = scratch.table(wanted.groupBy("doc_id").agg(F.collect_list("at").alias("blocks")), "wanted")
+    many = same.groupBy("doc_a").agg((F.count(F.lit(1)) + 1).alias("weight"))
+    lists = lists.join(broadcast_if_small(many, 16), F.col("doc_id") == F.col("doc_a"), "left")
+    lists = scratch.table(lists.select(F.col("doc_id").alias("want"), "blocks", F.coalesce("weight", F.lit(1)).cast("long").alias("weight")), "weighted")
+    members = single.join(broadcast_if_small(lists, 48), F.col("doc_id") == F.col("want")).select("doc_id", "text", "blocks", "weight")
+    shipped = members.mapInArrow(_sets(n), "at long, doc_id long, weight long, grams binary")
+    return same, placed.groupBy("block").cogroup(shipped.groupBy("at")).applyInArrow(_verify(t, out), schema)
+
+
+def _placed(candidates: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(block, a, b): pairs near to one another in one block, so that a set goes to few; the pairs of a large cluster are
+    cut into tiles by both of their documents, so that no block gets more than about BLOCK_CANDIDATES."""
     ends = candidates.select(F.col("a").alias("doc"), F.col("b").alias("other")).unionByName(candidates.select(F.col("b").alias("doc"), F.col("a").alias("other")))
     label = ends.groupBy("doc").agg(F.least(F.min("other"), F.first("doc")).alias("label"))
-    placed = candidates.join(label, candidates["a"] == label["doc"]).select((F.pmod(F.xxhash64("label"), F.lit(4 * buckets))).alias("block"), "a", "b")
-    placed = scratch.table(placed, "placed")
-    wanted = placed.select(F.col("block").alias("at"), F.col("a").alias("doc_id")).unionByName(placed.select(F.col("block").alias("at"), F.col("b").alias("doc_id"))).distinct()
-    lists = scratch.table(wanted.groupBy("doc_id").agg(F.collect_list("at").alias("blocks")).withColumnRenamed("doc_id", "want"), "wanted")
-    members = single.join(broadcast_if_small(lists, 40), F.col("doc_id") == F.col("want")).select("doc_id", "text", "blocks")
-    shipped = members.mapInArrow(_sets(n), "at long, doc_id long, grams binary")
-    found = placed.groupBy("block").cogroup(shipped.groupBy("at")).applyInArrow(_verify(t), _RESULT)
+    labelled = scratch.table(candidates.join(label, candidates["a"] == label["doc"]).select("label", "a", "b"), "labelled")
+    blocks = max(4 * least, -(-labelled.count() // BLOCK_CANDIDATES))
+    tiles = labelled.groupBy("label").count().where(F.col("count") > BLOCK_CANDIDATES)
+    tiles = tiles.select(F.col("label").alias("large"), F.ceil(F.sqrt(F.col("count") / BLOCK_CANDIDATES)).cast("int").alias("tiles"))
+    cut = labelled.join(broadcast_if_small(tiles, 16), F.col("label") == F.col("large"), "left")
+    tile = lambda k: F.when(F.col("tiles").isNotNull(), F.pmod(F.xxhash64(k), F.col("tiles")))
+    return cut.select(F.pmod(F.xxhash64("label", tile("a"), tile("b")), F.lit(blocks)).alias("block"), "a", "b")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_a, doc_b, shared, jaccard) of all pairs doc_a < doc_b whose sets of word n-grams have Jaccard t or more.
+
+    Of documents with equal sets the smallest doc_id stands for all in the pairs, and each other one has a pair
+    with it (jaccard 1), so that many copies give as many rows, not their square. A text of fewer words than n
+    has one gram of all its words; null and wordless texts and rows without a doc_id match nothing. doc_id names
+    a document: rows that repeat it count once. Other columns are ignored; an empty table gives none. A task holds a
+    few dozen bytes for each byte of a text. Jobs run while the plan is built.
+    """
+    same, found = _found(docs, n, t, bits, _pair_rows, _PAIRS)
     return found.unionByName(same.select("doc_a", "doc_b", "shared", F.lit(1.0).alias("jaccard")))
 
 
+def near_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, class_id, n_links): with how many other documents each one has Jaccard t or more, and the smallest doc_id that these links connect it to.
+
+    One row for each doc_id, its own class with no links if it is near to none; rows that repeat a doc_id are one
+    document. What has links is as in similar_pairs(), but copies count each: pairs are verified and counted between
+    documents of different sets, and never written out, so that a cluster gives as many rows as it has documents.
+    """
+    scratch = Scratch(docs.sparkSession)
+    same, found = _found(docs, n, t, bits, _link_rows, _LINKS)
+    found = scratch.table(found, "links")
+    group = components(found.select("doc", "label"), "doc", "label").withColumnsRenamed({"doc_id": "rep"})
+    copies = same.groupBy(F.col("doc_a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
+    links = found.select(F.col("doc").alias("rep"), "links").unionByName(copies).groupBy("rep").agg(F.sum("links").alias("links"))
+    reps = scratch.table(links.join(group, "rep", "left").select("rep", F.coalesce("group_id", "rep").alias("class_id"), "links"), "representatives")
+    others = same.join(broadcast_if_small(reps, 32), F.col("doc_a") == F.col("rep")).select(F.col("doc_b").alias("rep"), "class_id", "links")
+    linked = scratch.table(reps.unionByName(others), "linked")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    joined = ids.join(broadcast_if_small(linked, 32), F.col("doc_id") == F.col("rep"), "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """(doc_id, group_id): the smallest id that each id is connected to. Alternating large-star and small-star steps, each written to the shared folder."""
     scratch = Scratch(pairs.sparkSession)
@@ -402,20 +479,20 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of connected similar pairs, the one with the smallest doc_id.
+    """docs with one document of each group of connected similar pairs, the one with the smallest doc_id (rows that repeat it stay).
 
-    Null, wordless and id-less rows stay, and so does every document that is similar to none.
+    Null, wordless and id-less rows stay, and so does every document that is similar to none. An empty table stays
+    empty, columns stay as they are whatever their names. Jobs run while the plan is built.
     """
-    pairs = Scratch(docs.sparkSession).table(similar_pairs(docs, n, t), "pairs")
-    return drop_ids(docs, components(pairs).select("doc_id"))
+    return drop_ids(docs, Scratch(docs.sparkSession).table(near_classes(docs, n, t).where("doc_id <> class_id").select("doc_id"), "near"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(documents(spark, sf_dir))
+    return near_classes(documents(spark, sf_dir))
 
 
 SQL = """
-with w as (
+with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words
   from documents where doc_id is not null and text is not null
 ), s as (
@@ -423,15 +500,26 @@ with w as (
     else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' '))) end as grams
   from w where len(words) > 0
 ), named as (
-  select doc_id, grams, len(grams) as size, min(doc_id) over (partition by list_sort(grams)) as rep from s
-), g as (
-  select doc_id, size, unnest(grams) as gram from named where doc_id = rep
-), pairs as (
-  select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared, any_value(a.size) + any_value(b.size) - count(*) as either
+  select doc_id, grams, len(grams) as size, min(doc_id) over (partition by list_sort(grams)) as rep, count(*) over (partition by list_sort(grams)) as copies from s
+), g as materialized (
+  select doc_id, size, copies, unnest(grams) as gram from named where doc_id = rep
+), met as (
+  select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared, any_value(a.size) + any_value(b.size) - count(*) as either, any_value(a.copies) as copies_a, any_value(b.copies) as copies_b
   from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id and least(a.size, b.size) >= 0.45 * greatest(a.size, b.size)
   group by 1, 2
+), pairs as materialized (
+  select * from met where shared >= 0.45 * either
+), edges as materialized (
+  select doc_a as x, doc_b as y, copies_b as n from pairs union all select doc_b, doc_a, copies_a from pairs
+), reach as (
+  select doc_id as id, doc_id as root from named where doc_id = rep
+  union select y, root from reach join edges on x = id where root < y
+), class as (
+  select id, min(root) as root from reach group by id
+), links as (
+  select x as id, sum(n) as n from edges group by x
 )
-select doc_a, doc_b, shared, shared::double / either as jaccard from pairs where shared >= 0.45 * either
-union all
-select rep, doc_id, size, 1.0::double from named where doc_id <> rep
+select d.doc_id, coalesce(class.root, d.doc_id) as class_id, (coalesce(links.n, 0) + coalesce(named.copies - 1, 0))::bigint as n_links
+from (select distinct doc_id from documents where doc_id is not null) d
+left join named using (doc_id) left join class on class.id = named.rep left join links on links.id = named.rep
 """

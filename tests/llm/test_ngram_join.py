@@ -27,6 +27,33 @@ def brute(rows, t):
     return sorted((a, b, round(j, 9)) for a, b, j in out)
 
 
+def brute_classes(rows, t):
+    """(doc_id, class_id, n_links) by all pairs of documents."""
+    s = sets(rows)
+    ids = sorted({i for i, _ in rows if i is not None})
+    label, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+    full = sorted((len(s[i]), i) for i in s)
+    near = []
+    for k, (n, a) in enumerate(full):
+        for m, b in full[k + 1 :]:
+            if n < t * m:
+                break
+            both = len(s[a] & s[b])
+            if both >= t * (n + m - both):
+                near.append((a, b))
+    for a, b in near:
+        links[a] += 1
+        links[b] += 1
+    moved = True
+    while moved:
+        moved = False
+        for a, b in near:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    return sorted((i, label[i], links[i]) for i in ids)
+
+
 def pairs(df):
     return sorted((r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in df.collect())
 
@@ -43,6 +70,18 @@ def test_documents(spark, monkeypatch):
     assert pairs(J.similar_pairs(docs, t=0.8)) == brute(rows, 0.8)
 
 
+def test_classes(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    docs = docs.unionByName(docs.where("doc_id < 40").selectExpr("doc_id + 100000 as doc_id", "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_classes(rows, J.THRESHOLD)
+    assert sum(n > 1 for _, _, n in want) > 10
+    assert sorted(map(tuple, J.near_classes(docs).collect())) == want
+    monkeypatch.setattr(J, "BLOCK_CANDIDATES", 5)  # clusters are cut into tiles
+    monkeypatch.setattr(J, "BUCKET_GRAMS", 10_000)
+    assert sorted(map(tuple, J.near_classes(docs).collect())) == want
+
+
 def test_shuffled_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(J, "broadcast_if_small", lambda df, n: df)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
@@ -54,7 +93,8 @@ def test_hard_rows(hard):
     assert got == brute([(r.doc_id, r.text) for r in hard.collect()], 0.5) == [(1, 2, 1.0), (1, 8, 0.6)]
     kept = [r.doc_id for r in J.drop_near_copies(hard, t=0.5).select("doc_id").collect()]
     assert sorted(x for x in kept if x is not None) == [1, 3, 4, 5, 6, 7, 9] and kept.count(None) == 2
-    assert J.similar_pairs(hard.limit(0)).count() == 0 and J.drop_near_copies(hard.limit(0)).count() == 0
+    assert sorted(map(tuple, J.near_classes(hard, t=0.5).collect())) == brute_classes([(r.doc_id, r.text) for r in hard.collect()], 0.5)
+    assert J.similar_pairs(hard.limit(0)).count() == 0 == J.near_classes(hard.limit(0)).count() and J.drop_near_copies(hard.limit(0)).count() == 0
 
 
 def test_components(spark):
