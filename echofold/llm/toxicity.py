@@ -64,21 +64,26 @@ class Model:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) in one left-to-right scan (Ruzzo and Tompa)."""
+    """All maximal scoring segments (first, last, score) in one left-to-right scan in linear time (Ruzzo and Tompa).
+
+    Each candidate links to the nearest one before it whose left sum is smaller: those between need never be looked
+    at again, so that every link is followed once.
+    """
     total = np.cumsum(scores)
-    found: list[list] = []  # [first, last, sum before, sum at last]
-    for k in np.flatnonzero(scores > 0):
-        new = [int(k), int(k), float(total[k] - scores[k]), float(total[k])]
+    up = np.flatnonzero(scores > 0)
+    first, last, low, high, link = [], [], [], [], []
+    for k, after in zip(up.tolist(), total[up].tolist()):
+        begin, before, j = k, after - float(scores[k]), len(first) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and low[j] >= before:
+                j = link[j]
+            if j < 0 or high[j] >= after:
                 break
-            new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            begin, before, nearest = first[j], low[j], link[j]
+            del first[j:], last[j:], low[j:], high[j:], link[j:]
+            j = nearest
+        first.append(begin), last.append(k), low.append(before), high.append(after), link.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high)]
 
 
 def poisson_p_value(scores: list[float], n: int, decay: float, scale: float, floor: float = 0.0) -> float:

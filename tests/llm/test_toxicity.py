@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from echofold.llm import toxicity as T
@@ -28,6 +30,17 @@ def test_maximal_segments():
         assert np.allclose([s for _, _, s in got], [s for _, _, s in slow_segments(scores)])
 
 
+def test_segments_in_linear_time():
+    """A falling sum of many positive scores: each must look back past all candidates, or along one link."""
+    took = []
+    for n in (20_000, 160_000):
+        scores = np.tile([-2.0, 1.0], n)
+        begin = time.perf_counter()
+        assert len(T.maximal_segments(scores)) == n
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
 def test_held_out(spark):
     """Fitted on half of the labels, judged on the other."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
