@@ -1,43 +1,50 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 3).
 
 Each preceding word is a context with a restaurant of its own; all of them share the unigram restaurant as
-parent, whose parent is uniform. Words are hashed to TYPES word types, 0 is the start of a text. Customers and
-tables of a dish in a restaurant are counts (c, t): which table a customer leaves is integrated out, as a random
-customer sits alone with probability S(c - 1, t - 1) / S(c, t), S the generalized Stirling numbers. Gibbs rounds
-reseat one random customer of every dish. Contexts are seated in parallel given their parent's predictive; the
-tables they open are the customers of the parent, which is seated next, and so on.
+parent, whose parent is uniform over the corpus's words. Words are told apart by 40 bits of their hashes (of a
+billion words one in a thousand shares a hash), 0 is the start of a text. Customers and tables of a dish in a
+restaurant are counts (c, t): which table a customer leaves is integrated out, as a random customer sits alone with
+probability S(c - 1, t - 1) / S(c, t), S the generalized Stirling numbers. A Gibbs sweep reseats about every
+customer of every dish. Contexts are seated in parallel given their parent's predictive; the tables they open are
+the customers of the parent, which is seated next, and so on.
+
+Dishes are partitioned by context; contexts with more tokens than a part should have go to as many parts as they
+need, and their tables add up over these. Parts and the parent's buckets exchange, for the words that a part has,
+tables one way and predictive probabilities the other: nothing is held for all words in one place.
 
 A text's tokens are scored by the probability of each one given all others (the one scored has left its table),
-averaged over the last rounds; the perplexity is exp(-mean log probability).
+averaged over the last sweeps; the perplexity is exp(-mean log probability).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, documents, mix, text_slices
 
-TYPE_BITS = 22
-TYPES = 1 << TYPE_BITS
+TYPE_BITS = 40
 CONCENTRATION = 1.0
-#: passes over the restaurants; in each, rounds before and rounds that are averaged
-PASSES, BURN_IN, SAMPLES = 2, 6, 6
+#: passes over the restaurants; in each, sweeps before and sweeps that are averaged
+PASSES, BURN_IN, SAMPLES = 2, 4, 4
 SEED = 5
 #: dishes up to so many customers have exact Stirling ratios; beyond, the limit of the share of single tables
 STIRLING = 400
-#: of a frequent context's dishes, into how many parts they go; tables of a context add up over its parts
-SPREAD = 8
+#: steps of a sweep: of a dish with more customers, as many move together in each step as let all move once
+STEPS = 16
 SLICE_BYTES = 1 << 20
 PART_BYTES = 12 << 20
-CHUNKS = 32
+#: tokens of a part, about
+PART_TOKENS = PART_BYTES // 6
 
 
 def stirling_ratios(d: float, most: int = STIRLING) -> np.ndarray:
@@ -80,18 +87,47 @@ def first_seating(c: np.ndarray, base: np.ndarray, start: np.ndarray, d: float,
 
 
 def reseat(c: np.ndarray, t: np.ndarray, base: np.ndarray, ratios: np.ndarray, d: float, random: np.random.Generator) -> None:
-    """One random customer of each dish leaves and comes back: a Gibbs step for every dish with more than one, in place."""
-    left = t - (random.random(len(c)) < alone(c, t, ratios, d))
-    p = base / (base + np.maximum(c - 1 - d * left, 1e-12))
-    t[:] = np.where(c > 1, np.maximum(1, left + (random.random(len(c)) < p)), t)
+    """A sweep, in place: each customer leaves and comes back about once. Up to STEPS customers of a dish move one by one."""
+    group = np.maximum(1, c // STEPS)
+    for step in range(min(STEPS, int(c.max(initial=0)))):
+        live = np.flatnonzero(c > max(step, 1))
+        if not len(live):
+            return
+        n, m, now = c[live], group[live], t[live]
+        away = np.where(m > 1, random.binomial(m, np.clip(alone(n, now, ratios, d), 0, 1)), random.random(len(live)) < alone(n, now, ratios, d))
+        left = np.maximum(now - away, np.where(m < n, 1, 0)) if (m > 1).any() else now - away
+        p = base[live] / (base[live] + np.maximum(n - m - d * left, 1e-12))
+        back = np.where(m > 1, random.binomial(m, p), random.random(len(live)) < p)
+        t[live] = np.clip(left + back, 1, n)
 
 
 # ---------------------------------------------------------------------------------- tokens by context
 
 
-def _part(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
-    spread = np.uint64(min(SPREAD, parts))
-    return ((mix(u.astype(np.uint64)) + mix(w.astype(np.uint64)) % spread * np.uint64(max(1, parts // int(spread)))) % np.uint64(parts)).astype(np.int64)
+@dataclass
+class Hot:
+    """Contexts with more tokens than a part should have: sorted hashes, into how many parts each goes, customers and tables."""
+
+    u: np.ndarray
+    spread: np.ndarray
+    customers: np.ndarray | None = None
+    opened: np.ndarray | None = None
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where in u, which context)"""
+        if not len(self.u):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.u, u), len(self.u) - 1)
+        here = np.flatnonzero(self.u[at] == u)
+        return here, at[here]
+
+
+def _part(u: np.ndarray, w: np.ndarray, parts: int, hot: Hot) -> np.ndarray:
+    out = mix(u.astype(np.uint64)) % np.uint64(parts)
+    here, which = hot.find(u)
+    spread = np.minimum(hot.spread, parts).astype(np.uint64)[which]
+    out[here] = (out[here] + mix(w[here].astype(np.uint64)) % spread * (np.uint64(parts) // spread)) % np.uint64(parts)
+    return out.astype(np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +141,62 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, w, words.doc
 
 
+def _summed_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+
+def _survey(buckets: int, most: int = 2_000_000):
+    """Tokens by context, summed in the task, by bucket of the contexts."""
+
+    def out(key, n):
+        bucket = key * buckets >> TYPE_BITS
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            s = slice(edge[k], edge[k + 1])
+            packed = np.array([len(key[s])], "<i4").tobytes() + _pack((np.diff(key[s], prepend=0), "<i8"), (n[s], "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "packed"])
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            for i, j in text_slices(b.column(0)):
+                key, n = np.unique(tokens(b.column(0).slice(i, j - i))[0], return_counts=True)
+                held.append((key, n))
+                rows += len(key)
+                if rows > most:
+                    held = [_summed_counts(held)]
+                    if len(held[0][0]) > most // 2:
+                        yield from out(*held.pop())
+                    rows = sum(len(k) for k, _ in held)
+        if held:
+            yield from out(*_summed_counts(held))
+
+    return run
+
+
+def _frequent(limit: int):
+    def run(batches):
+        by: dict[int, list] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key, n = _unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8", "<i8")
+                by.setdefault(k, []).append((np.cumsum(key), n))
+        for held in by.values():
+            key, n = _summed_counts(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n > limit]), pa.array(n[n > limit])], ["u", "n"])
+
+    return run
+
+
+def hot_contexts(texts: DataFrame, limit: int) -> Hot:
+    """Contexts of over limit tokens, counted over all texts; there can't be more of them than parts."""
+    buckets = max(12, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = texts.select("text").mapInArrow(_survey(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    rows = sorted(map(tuple, counted.mapInArrow(_frequent(limit), "u long, n long").collect()))
+    return Hot(np.array([u for u, _ in rows], np.int64), np.array([-(-n // limit) for _, n in rows], np.int64))
+
+
 def _pack(*columns: tuple[np.ndarray, str]) -> bytes:
     """Byte planes of each column, compressed."""
     return zlib.compress(b"".join(x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in columns), 1)
@@ -119,7 +211,7 @@ def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _spread(parts: int):
+def _spread(parts: int, hot: Hot):
     """The tokens of each slice by part: docs of the slice, and (context step, word, text) sorted by context and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +219,7 @@ def _spread(parts: int):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in text_slices(b.column(1), SLICE_BYTES):
                 u, w, doc = tokens(b.column(1).slice(i, j - i))
-                part = _part(u, w, parts)
+                part = _part(u, w, parts, hot)
                 order = np.lexsort((w, u, part))
                 u, w, doc, part = u[order], w[order], doc[order], part[order]
                 edge = np.searchsorted(part, np.arange(parts + 1))
@@ -136,7 +228,7 @@ def _spread(parts: int):
                     there, local = np.unique(doc[s], return_inverse=True)
                     n = len(local)
                     head = np.array([n, len(there)], "<i4").tobytes() + ids[i + there].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([head + _pack((np.diff(u[s], prepend=0), "<i4"), (w[s], "<i4"), (local, "<u4"))], pa.binary())], ["part", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([head + _pack((np.diff(u[s], prepend=0), "<i8"), (w[s], "<i8"), (local, "<u4"))], pa.binary())], ["part", "packed"])
 
     return run
 
@@ -144,8 +236,8 @@ def _spread(parts: int):
 def _open(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(x, "<i4", 2)
     ids = np.frombuffer(x, "<i8", m, 8)
-    du, w, local = _unpack(x[8 + 8 * m :], n, "<i4", "<i4", "<u4")
-    return np.cumsum(du), w.astype(np.int64), ids[local]
+    du, w, local = _unpack(x[8 + 8 * m :], n, "<i8", "<i8", "<u4")
+    return np.cumsum(du), w, ids[local]
 
 
 @dataclass
@@ -162,130 +254,185 @@ class Part:
     @classmethod
     def of(cls, blobs: list[bytes]) -> Part:
         u, w, doc = (np.concatenate(x) for x in zip(*map(_open, blobs)))
-        key, dish, c = np.unique(u << TYPE_BITS | w, return_inverse=True, return_counts=True)
         ids, doc = np.unique(doc, return_inverse=True)
-        return cls(key >> TYPE_BITS, key & (TYPES - 1), c, dish, doc, ids)
+        order = np.lexsort((doc, w, u))
+        u, w, doc = u[order], w[order], doc[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        first = np.flatnonzero(new)
+        return cls(u[first], w[first], np.diff(np.append(first, len(u))), np.cumsum(new) - 1, doc, ids)
 
     def dump(self) -> bytes:
-        key = self.u << TYPE_BITS | self.w
-        order = np.lexsort((self.doc, self.dish))
         head = np.array([len(self.c), len(self.doc), len(self.ids)], "<i8").tobytes()
-        a = _pack((np.diff(key, prepend=0), "<i8"), (self.c, "<i4"))
-        b = _pack((self.doc[order], "<i4"))
+        a = _pack((np.diff(self.u, prepend=0), "<i8"), (self.w, "<i8"), (self.c, "<i4"))
+        b = _pack((self.doc, "<i4"))
         return head + np.array([len(a), len(b)], "<i8").tobytes() + a + b + _pack((np.diff(self.ids, prepend=0), "<i8"))
 
     @classmethod
     def parse(cls, x: bytes) -> Part:
         n, m, k, a, b = np.frombuffer(x, "<i8", 5)
-        key, c = _unpack(x[40 : 40 + a], n, "<i8", "<i4")
-        key, c = np.cumsum(key), c.astype(np.int64)
+        u, w, c = _unpack(x[40 : 40 + a], n, "<i8", "<i8", "<i4")
+        c = c.astype(np.int64)
         (doc,) = _unpack(x[40 + a : 40 + a + b], m, "<i4")
         (ids,) = _unpack(x[40 + a + b :], k, "<i8")
-        return cls(key >> TYPE_BITS, key & (TYPES - 1), c, np.repeat(np.arange(n), c), doc, np.cumsum(ids))
+        return cls(np.cumsum(u), w, c, np.repeat(np.arange(n), c), doc, np.cumsum(ids))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The part's words, sorted, and the word of each dish."""
+        return np.unique(self.w, return_inverse=True)
+
+
+_STATE = "part int, kind string, bucket int, packed binary, u array<long>, n array<long>"
+
+
+def _row(part: int, kind: str, bucket: int = 0, packed: bytes | None = None, u=(), n=()) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, kind, bucket, packed, list(u), list(n)), kinds)], ["part", "kind", "bucket", "packed", "u", "n"])
 
 
-def _sums(part: int, kind: str, where: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums by word type, packed by chunk of the types."""
-    at = np.flatnonzero(np.bincount(where, minlength=1)) if len(where) else where
-    total = np.bincount(where, values)[at].astype(np.int64) if len(where) else where
-    edge = np.searchsorted(at, np.arange(CHUNKS + 1) * (TYPES // CHUNKS))
+def _asked(part: int, p: Part, t: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a part asks of the parent: its words by bucket of the words, with the tables it has of each."""
+    words, at = p.words()
+    tables = np.bincount(at, t, len(words)).astype(np.int64)
+    edge = np.searchsorted(words * buckets >> TYPE_BITS, np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edge)):
         s = slice(edge[k], edge[k + 1])
-        packed = np.array([len(at[s])], "<i4").tobytes() + _pack((np.diff(at[s], prepend=0), "<i4"), (total[s], "<i8"))
-        yield _row(part, kind, int(k), packed)
+        packed = np.array([len(words[s])], "<i4").tobytes() + _pack((np.diff(words[s], prepend=0), "<i8"), (tables[s], "<i4"))
+        yield _row(part, "asked", int(k), packed)
 
 
-_STATE = "part int, kind string, chunk int, packed binary"
+def _shared(part: int, p: Part, t: np.ndarray, hot: Hot) -> Iterator[pa.RecordBatch]:
+    """Customers and tables of the part's hot contexts."""
+    here, which = hot.find(p.u)
+    if len(here):
+        at, inverse = np.unique(which, return_inverse=True)
+        yield _row(part, "customers", u=at.tolist(), n=np.bincount(inverse, p.c[here]).astype(np.int64).tolist())
+        yield _row(part, "opened", u=at.tolist(), n=np.bincount(inverse, t[here]).astype(np.int64).tolist())
 
 
-def _row(part: int, kind: str, chunk: int, packed: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind]), pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["part", "kind", "chunk", "packed"])
+def _gather(hot: Hot, buckets: int):
+    """After the shuffle: the parts as self-contained rows, and what starts the model (one table for each dish)."""
 
+    def run(batches):
+        by: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(k, []).append(x)
+        for k in sorted(by):
+            p = Part.of(by.pop(k))
+            yield _row(k, "part", packed=p.dump())
+            one = np.ones(len(p.c), np.int64)
+            yield from _shared(k, p, one, hot)
+            yield from _asked(k, p, one, buckets)
+            yield _row(k, "counts", n=[len(p.c), int((p.c == 1).sum()), int((p.c == 2).sum())])
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the shuffle: the parts as self-contained rows, and the sums that start the model (one table for each dish)."""
-    by: dict[int, list[bytes]] = {}
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            by.setdefault(k, []).append(x)
-    for k in sorted(by):
-        p = Part.of(by.pop(k))
-        yield _row(k, "part", 0, p.dump())
-        yield from _sums(k, "customers", p.u, p.c)
-        one = np.ones(len(p.c))
-        yield from _sums(k, "opened", p.u, one)
-        yield from _sums(k, "wanted", p.w, one)
-        count = np.array([len(p.c), (p.c == 1).sum(), (p.c == 2).sum()], "<i8")
-        yield _row(k, "counts", 0, count.tobytes())
-
-
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = TYPES // CHUNKS
-    total: dict[tuple[str, int], np.ndarray] = {}
-    for b in batches:
-        for kind, k, x in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
-            n = int(np.frombuffer(x, "<i4", 1)[0])
-            at, values = _unpack(x[4:], n, "<i4", "<i8")
-            total.setdefault((kind, k), np.zeros(width, np.int64))[np.cumsum(at) - k * width] += values
-    for (kind, k), x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["kind", "chunk", "packed"])
-
-
-def _arrays(sums: DataFrame) -> dict[str, np.ndarray]:
-    """The totals by word type of each kind: arrays of one fixed size, whatever the input's."""
-    out: dict[str, np.ndarray] = {}
-    rows = sums.select("kind", "chunk", "packed").repartition(CHUNKS, "kind", "chunk").mapInArrow(_total, "kind string, chunk int, packed binary").collect()
-    for r in rows:
-        x = np.frombuffer(zlib.decompress(r["packed"]), np.int64)
-        out.setdefault(r["kind"], np.zeros(TYPES, np.int64))[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
+    return run
+
+
+def _hot_sums(rows: DataFrame, kind: str, size: int) -> np.ndarray:
+    """By hot context; at most one row for each of its parts."""
+    out = np.zeros(size, np.int64)
+    found = rows.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("u", "n")).alias("x")).groupBy("x.u").agg(F.sum("x.n").alias("n"))
+    for r in found.collect():
+        out[r[0]] = r[1]
     return out
 
 
+def seat_parent(c: np.ndarray, base: float, d: float, ratios: np.ndarray, random: np.random.Generator, rounds: int = BURN_IN) -> np.ndarray:
+    """Mean tables of the unigram restaurant's dishes, whose customers are the contexts' tables, over as many sweeps as went before."""
+    t = np.ones(len(c), np.int64)
+    weight = np.full(len(c), base)
+    t = first_seating(c, weight, t, d, random)
+    mean = np.zeros(len(c))
+    for r in range(2 * rounds):
+        reseat(c, t, weight, ratios, d, random)
+        if r >= rounds:
+            mean += t / rounds
+    return mean
+
+
+def _seated(base: float, d: float, table, seed: int, rounds: int):
+    """The parent's dishes of each bucket are seated; to each part goes c - d t of the words it asked for, in their order."""
+
+    def run(batches):
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for part, bucket, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                by.setdefault(bucket, []).append((part, x))
+        for bucket in sorted(by):
+            asked = sorted(by.pop(bucket))
+            opened = []
+            for part, x in asked:
+                du, n = _unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8", "<i4")
+                opened.append((np.cumsum(du), n))
+            key, c = _summed_counts(opened)
+            t = seat_parent(c, base, d, table.value, np.random.default_rng([SEED, 1, seed, bucket]), rounds)
+            rest = (c - d * t).astype(np.float32)
+            for (part, _), (words, _) in zip(asked, opened):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bucket], pa.int32()), pa.array([zlib.compress(rest[np.searchsorted(key, words)].tobytes(), 1)], pa.binary()), pa.array([0.0]), pa.array([0.0]), pa.array([0])], ["part", "bucket", "packed", "customers", "tables", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([float(c.sum())]), pa.array([float(t.sum())]), pa.array([len(c)])], ["part", "bucket", "packed", "customers", "tables", "words"])
+
+    return run
+
+
+_SEATED = "part int, bucket int, packed binary, customers double, tables double, words long"
+
+
+def _answers(folder: str):
+    """Writes the answers to each part as a file of its own, buckets in order; a repeated task writes the same bytes again."""
+
+    def run(batches):
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for part, bucket, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                by.setdefault(part, []).append((bucket, x))
+        for part, found in by.items():
+            own = f"{path}/{uuid.uuid4().hex}.tmp"
+            values = b"".join(zlib.decompress(x) for _, x in sorted(found))
+            with store.open_output_stream(own) as f:
+                f.write(values)
+            store.move(own, f"{path}/{part}.answers")
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], ["part"])
+
+    return run
+
+
 @dataclass
 class Parents:
-    """What the contexts share: the parent's predictive by word, and by context customers, tables; discount and concentration."""
+    """What the contexts share: where the parent's c - d t lie by part, the weight of its new tables over the words, what all is divided by; hot contexts; discount and concentration."""
 
-    predictive: np.ndarray
-    customers: np.ndarray
-    opened: np.ndarray
+    folder: str
+    fresh: float
+    total: float
+    hot: Hot
     discount: float
     theta: float
 
-    def dump(self) -> bytes:
-        head = np.array([self.discount, self.theta]).tobytes()
-        return zlib.compress(head + b"".join(x.astype(np.float32).tobytes() for x in (self.predictive, self.customers, self.opened)), 1)
-
-    @classmethod
-    def parse(cls, data: bytes) -> Parents:
-        x = zlib.decompress(data)
-        d, theta = np.frombuffer(x, np.float64, 2)
-        return cls(*(np.frombuffer(x, np.float32, TYPES, 16 + 4 * k * TYPES) for k in range(3)), float(d), float(theta))
+    def predictive(self, part: int, p: Part) -> np.ndarray:
+        """The parent's probability of each dish's word."""
+        store, path = fs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(f"{path}/{part}.answers") as f:
+            rest = np.frombuffer(f.read(), "<f4").astype(np.float64)
+        return ((rest + self.fresh) / self.total)[p.words()[1]]
 
 
-def seat_parent(wanted: np.ndarray, d: float, theta: float, ratios: np.ndarray, seed: int, rounds: int = BURN_IN) -> np.ndarray:
-    """Predictive of the unigram restaurant, whose customers are the contexts' tables, averaged over as many rounds again. wanted: customers by word type."""
-    random = np.random.default_rng([SEED, 1, seed])
-    at = np.flatnonzero(wanted)
-    c = wanted[at].astype(np.int64)
-    t = np.ones(len(c), np.int64)
-    t = first_seating(c, np.full(len(c), (theta + d * len(c)) / TYPES), t, d, random)
-    mean = np.zeros(len(c))
-    for r in range(2 * rounds):
-        reseat(c, t, np.full(len(c), (theta + d * t.sum()) / TYPES), ratios, d, random)
-        if r >= rounds:
-            mean += t / rounds
-    out = np.full(TYPES, (theta + d * mean.sum()) / TYPES)
-    out[at] += c - d * mean
-    return out / (theta + c.sum())
+def _sizes(p: Part, parents: Parents, inverse: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By context of the part: customers everywhere, and tables in other parts as of the last pass."""
+    customers, others = np.bincount(inverse, p.c, len(context)), np.zeros(len(context))
+    here, which = parents.hot.find(context)
+    own = np.bincount(inverse, minlength=len(context))
+    customers[here] = parents.hot.customers[which]
+    others[here] = np.maximum(parents.hot.opened[which] - own[here], 0)
+    return customers, others
 
 
-def _seatings(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tables by dish, tables by dish's context) of each sampled round, given the parent."""
+def _seatings(p: Part, p0: np.ndarray, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tables by dish, tables by dish's context) after each sampled sweep, given the parent."""
     random = np.random.default_rng([SEED, 2, seed])
     d, theta = parents.discount, parents.theta
-    p0, context, inverse = parents.predictive[p.w].astype(np.float64), *np.unique(p.u, return_inverse=True)
-    own = np.bincount(inverse, minlength=len(context))
-    others = np.maximum(parents.opened[context].astype(np.float64) - own, 0)  # tables of the context's other parts, as of the last pass
+    context, inverse = np.unique(p.u, return_inverse=True)
+    _, others = _sizes(p, parents, inverse, context)
     weight = lambda t: (theta + d * (others + np.bincount(inverse, t, len(context)))[inverse]) * p0
     t = np.ones(len(p.c), np.int64)
     t = first_seating(p.c, weight(t), t, d, random)
@@ -298,13 +445,13 @@ def _seatings(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in:
             yield t.copy(), (others + np.bincount(inverse, t, len(context)))[inverse]
 
 
-def token_probabilities(p: Part, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> np.ndarray:
+def token_probabilities(p: Part, p0: np.ndarray, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> np.ndarray:
     """By dish, the probability of one of its tokens given all other tokens, averaged over the sampled seatings."""
-    d, theta = parents.discount, parents.theta
-    p0, n, out = parents.predictive[p.w].astype(np.float64), parents.customers[p.u].astype(np.float64), np.zeros(len(p.c))
-    for t, opened in _seatings(p, parents, ratios, seed, burn_in, samples):
-        gone = alone(p.c, t, ratios, d)
-        gone = np.where(p.c == 1, 1.0, gone)
+    d, theta, out = parents.discount, parents.theta, np.zeros(len(p.c))
+    context, inverse = np.unique(p.u, return_inverse=True)
+    n = _sizes(p, parents, inverse, context)[0].astype(np.float64)[inverse]
+    for t, opened in _seatings(p, p0, parents, ratios, seed, burn_in, samples):
+        gone = np.where(p.c == 1, 1.0, alone(p.c, t, ratios, d))
         out += (np.maximum(p.c - 1 - d * (t - gone), 0.0) + (theta + d * (opened - gone)) * p0) / (theta + n - 1)
     return out / samples
 
@@ -320,7 +467,9 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
 
     A row for each doc_id; rows that repeat one are one document. Null, empty and wordless texts and rows whose
     doc_id is null: the former have 0 tokens, log_prob 0 and no perplexity (null); the latter are read into the
-    model, and are scored together under the null doc_id. Other columns are ignored; an empty table gives none.
+    model, and are scored together under the null doc_id. Other columns are ignored; an empty table gives none. A task
+    holds a part of about PART_BYTES of text, some dozens of bytes for each byte of its longest text, and all tokens of
+    the commonest pair of words. The model is fitted while the plan is built.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -329,24 +478,34 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
     texts = base.where("text is not null").select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, math.ceil(size / PART_BYTES))
-    spread = texts.mapInArrow(_spread(parts), "part int, packed binary").repartition(parts, "part")
-    state = scratch.table(spread.mapInArrow(_gather, _STATE), "parts")
-    counts = np.sum([np.frombuffer(r[0], "<i8") for r in state.where("kind = 'counts'").select("packed").collect()] or [np.zeros(3, np.int64)], axis=0)
-    d = float(np.clip(counts[1] / max(1, counts[1] + 2 * counts[2]), 0.1, 0.95))
+    buckets = max(12, parts // 4)
+    hot = hot_contexts(texts, PART_TOKENS)
+    spread = texts.mapInArrow(_spread(parts, hot), "part int, packed binary").repartition(parts, "part")
+    state = scratch.table(spread.mapInArrow(_gather(hot, buckets), _STATE), "parts")
+    counts = state.where("kind = 'counts'").agg(*[F.sum(F.col("n")[k]) for k in range(3)]).first()
+    d = float(np.clip((counts[1] or 0) / max(1, (counts[1] or 0) + 2 * (counts[2] or 0)), 0.1, 0.95))
     ratios = stirling_ratios(d)
     table = spark.sparkContext.broadcast(ratios)
-    sums = _arrays(state.where("kind in ('customers', 'opened', 'wanted')"))
-    zero = np.zeros(TYPES, np.int64)
-    customers, opened, wanted = (sums.get(k, zero) for k in ("customers", "opened", "wanted"))
-    rows = state.where("kind = 'part'").select("part", "packed")
+    hot.customers, hot.opened = (_hot_sums(state, k, len(hot.u)) for k in ("customers", "opened"))
+    rows, found, words, tables = state.where("kind = 'part'").select("part", "packed"), state, None, 0.0
     for k in range(passes):
-        handle = spark.sparkContext.broadcast(Parents(seat_parent(wanted, d, CONCENTRATION, ratios, k, burn_in), customers, opened, d, CONCENTRATION).dump())
+        asked = found.where("kind = 'asked'").select("part", "bucket", "packed")
+        if words is None:  # of one table for each word
+            words = tables = max(1.0, float(_distinct_words(asked, buckets)))
+        fresh = (CONCENTRATION + d * tables) / words
+        seated = scratch.table(asked.repartition(buckets, "bucket").mapInArrow(_seated(fresh, d, table, k, burn_in), _SEATED), "seated")
+        sums = seated.where("part < 0").agg(F.sum("customers"), F.sum("tables")).first()
+        customers, tables = (float(x or 0) for x in sums)
+        folder = scratch.path("answers")
+        folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        seated.where("part >= 0").select("part", "bucket", "packed").repartition(parts, "part").mapInArrow(_answers(folder), "part int").write.format("noop").mode("overwrite").save()
+        parents = Parents(folder, (CONCENTRATION + d * tables) / words, CONCENTRATION + customers, hot, d, CONCENTRATION)
         if k + 1 == passes:
             break
-        found = _arrays(rows.mapInArrow(_one_pass(handle, table, k, burn_in), _STATE))
-        opened, wanted = found.get("opened", zero), found.get("wanted", zero)
+        found = scratch.table(rows.mapInArrow(_one_pass(parents, table, k, burn_in, buckets), _STATE), "pass")
+        hot = Hot(hot.u, hot.spread, hot.customers, _hot_sums(found, "opened", len(hot.u)))
     groups = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scored = rows.mapInArrow(_score(handle, table, passes, burn_in, samples, groups), "g int, packed binary").repartition(groups, "g")
+    scored = rows.mapInArrow(_score(parents, table, passes, burn_in, samples, groups), "g int, packed binary").repartition(groups, "g")
     sums = scored.mapInArrow(_summed, "doc_id long, n long, lp double")
     every = base.select(F.coalesce("doc_id", F.lit(none)).alias("doc_id")).distinct()
     joined = every.join(sums, "doc_id", "left")
@@ -356,24 +515,33 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
     )
 
 
-def _one_pass(handle, table, seed: int, burn_in: int):
+def _distinct_words(asked: DataFrame, buckets: int) -> int:
+    def run(batches):
+        by: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(bucket, []).append(np.cumsum(_unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8")[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(np.unique(np.concatenate(x))) for x in by.values())])], ["n"])
+
+    return asked.select("bucket", "packed").repartition(buckets, "bucket").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _one_pass(parents: Parents, table, seed: int, burn_in: int, buckets: int):
     def run(batches):
-        parents = Parents.parse(handle.value)
         for k, p in _parts_of(batches):
-            for t, _ in _seatings(p, parents, table.value, (seed << 32) + k, burn_in, 1):
-                yield from _sums(k, "opened", p.u, t)
-                yield from _sums(k, "wanted", p.w, t)
+            for t, _ in _seatings(p, parents.predictive(k, p), parents, table.value, (seed << 32) + k, burn_in, 1):
+                yield from _shared(k, p, t, parents.hot)
+                yield from _asked(k, p, t, buckets)
 
     return run
 
 
-def _score(handle, table, seed: int, burn_in: int, samples: int, out: int):
+def _score(parents: Parents, table, seed: int, burn_in: int, samples: int, out: int):
     """Tokens and log probability of each part's documents, packed by the group of documents that sums them."""
 
     def run(batches):
-        parents = Parents.parse(handle.value)
         for k, p in _parts_of(batches):
-            lp = np.log(token_probabilities(p, parents, table.value, (seed << 32) + k, burn_in, samples))[p.dish]
+            lp = np.log(token_probabilities(p, parents.predictive(k, p), parents, table.value, (seed << 32) + k, burn_in, samples))[p.dish]
             n, total = np.bincount(p.doc, minlength=len(p.ids)), np.bincount(p.doc, lp, len(p.ids))
             group = (mix(p.ids.astype(np.uint64)) % np.uint64(out)).astype(np.int64)
             order = np.argsort(group, kind="stable")
