@@ -32,7 +32,9 @@ RECURRING = 0.2
 #: elsewhere a text is template if, texts being drawn alike, any of the slot's is on so many pages with this chance
 CHANCE = 0.01
 #: elements that show no text, or by definition none of the page's own
-SILENT = frozenset({"script", "style", "noscript", "template", "head", "iframe", "svg", "nav", "footer", "aside"})
+SILENT = frozenset({"script", "style", "noscript", "template", "head", "iframe", "svg", "nav"})
+#: none of the page's own unless within an article, whose they are then
+FURNITURE = frozenset({"footer", "aside"})
 RAW = frozenset({"script", "style"})
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article blockquote body dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul aside".split())
@@ -87,13 +89,14 @@ class Page:
                         silent = 0
             if silent and tag in VOID:
                 continue
+            quiet = tag in SILENT or tag in FURNITURE and not any(self.tag[k] == "article" for k in stack)
             names = " ".join(x.strip("\"'") for x in _CLASS.findall(m.group(3))) if m.group(3) else ""
             if silent:
                 node = self._add(tag, None, "", tag)
             else:
-                node = self._add(f"{tag}.{names}" if names else tag, None if tag in SILENT else stack[-1], "", tag)
+                node = self._add(f"{tag}.{names}" if names else tag, None if quiet else stack[-1], "", tag)
             if tag not in VOID and not m.group(3).endswith("/"):
-                if tag in SILENT and not silent:
+                if quiet and not silent:
                     silent = len(stack)
                 if len(stack) < DEPTH or silent:
                     stack.append(node)
@@ -472,8 +475,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     One row for each row. The host is the URL's in lower case. Without one (null or broken URL), and for a page
     unlike all others of its host, all visible text is content. A null or empty html gives the empty text. Broken
-    markup is read as it stands: unclosed elements end with their parent, stray end tags are dropped. Other columns
-    are ignored; an empty table gives none.
+    markup is read as it stands: unclosed elements end with their parent, stray end tags are dropped, elements deeper
+    than DEPTH are siblings. Repeated rows give repeated rows and count as one page. Other columns are ignored; an empty
+    table gives none. The wrappers are learned while the plan is built.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark)

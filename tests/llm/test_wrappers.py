@@ -46,6 +46,7 @@ def test_markup():
     assert read("<p>a<p>b <b>c<br>d</p>e") == "a\nb c\nd\ne"
     assert read("<head><title>no</title></head><body>x &amp; y<script>if (a<b) '</p>'</script> z<!-- <p>no --></body>") == "x & y z"
     assert read("<nav><ul><li>no</ul></nav><div class=ad>yes</div><footer>no") == "yes"
+    assert read("<article>a<aside>note</aside><footer>by b</footer></article><aside>no</aside>") == "a\nnote\nby b"
     assert read("a < b </nope> <") == "a < b <"
     assert read("<div>" * 5000 + "deep") == "deep" and read("") == "" and read("<") == "<" and read("<script>x") == ""
     assert read("<ul><li>a<li>b</ul>") == "a\nb"
