@@ -11,27 +11,42 @@ from echofold.llm.common import Scratch, documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without toxic documents, judged by a model of those of them that labels covers."""
+    """docs without toxic documents, judged by a model of those of them that labels covers.
+
+    Null and empty texts stay; repeated rows stay or go together; without toxic and clean labels nothing goes. Empty docs stay empty.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the one with the smallest doc_id."""
+    """One document of each text: the one with the smallest doc_id, once if rows repeat it.
+
+    Rows with a null doc_id or text stay; of several empty texts one stays. Empty docs stay empty.
+    """
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of connected near copies: the one with the smallest doc_id."""
+    """One document of each group of connected near copies: the one with the smallest doc_id.
+
+    Rows with a null doc_id and null or wordless texts stay. Empty docs stay empty.
+    """
     return ngram_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, once at least."""
+    """Each document as often as the mix takes it, once at least.
+
+    A row of no source is taken once; a null or empty text counts one token; repeated rows draw alike. Empty docs stay empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source with token ids, their number and whether they decode to the text."""
+    """doc_id, lang, source with token ids, their number and whether they decode to the text.
+
+    One row for each row; a null text has null ids, an empty one none. Empty docs give no rows.
+    """
     return bpe.encode(docs, ("doc_id", "lang", "source"))
 
 

@@ -24,7 +24,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 from .common import documents, raw, span_hashes, text_slices
 
 VOCABULARY = os.environ.get("ECHOFOLD_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-SLICE = 3 << 20
+#: bytes encoded at once; a task holds some hundred times as much
+SLICE = 2 << 20
 NO = np.int64(1 << 40)
 
 
@@ -199,7 +200,9 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = VOC
     """The kept columns with token_ids, n_tokens and round_trip (whether the ids decode to the text again).
 
     One row for each row, in one pass without a shuffle. A null text has null ids and no round trip (null), an
-    empty one no ids. Bytes that aren't UTF-8 are encoded as U+FFFD. Special tokens' strings are ordinary text.
+    empty one no ids. Bytes that aren't UTF-8 are encoded as U+FFFD. Special tokens' strings are ordinary text. Repeated
+    rows give repeated rows, an empty table gives none; other columns are left out, whatever their names. A text longer
+    than SLICE is encoded whole, and takes memory in proportion.
     """
     v = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [f"__k{i}" for i in range(len(keep))]
@@ -219,7 +222,10 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = VOC
 
 
 def decode(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
-    """The kept columns with text, from token_ids. Null ids give a null text; a null or unknown id among them is an error."""
+    """The kept columns with text, from token_ids. Null ids give a null text, no ids an empty one; a null or unknown id among them is an error.
+
+    One row for each row, repeated rows alike; an empty table gives none; other columns are left out.
+    """
     v = tokens.sparkSession.sparkContext.broadcast(load(path))
     names = [f"__k{i}" for i in range(len(keep))]
     rows = tokens.select(*[tokens[k].alias(n) for k, n in zip(keep, names)], tokens["token_ids"].alias("__ids"))

@@ -459,7 +459,10 @@ def near_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, bits: int =
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """(doc_id, group_id): the smallest id that each id is connected to. Alternating large-star and small-star steps, each written to the shared folder."""
+    """(doc_id, group_id): the smallest id that each id is connected to; no row for that id itself. Alternating large-star and small-star steps, each written to the shared folder.
+
+    Null ids, pairs of an id with itself and repeated pairs say nothing; an empty table gives none; other columns are ignored.
+    """
     scratch = Scratch(pairs.sparkSession)
     edges = scratch.table(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None

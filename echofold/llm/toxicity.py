@@ -232,7 +232,8 @@ def _judged(texts: pa.Array, model: Model, significant: float, passage: float) -
             if not segments:
                 continue
             p = poisson_p_value([x for _, _, x in segments], n, model.decay, model.scale, model.floor)
-            if p <= significant:
+            if p <= significant:  # passages are found as each occurrence scores in full: a second one is a passage too
+                segments = maximal_segments(scores[first:last])
                 e = [(a, b, x, model.scale * n * math.exp(-model.decay * x)) for a, b, x in segments]
                 top = max(x for _, _, x, _ in e)
                 yield i + int(d), n, top, p, [v for v in e if v[3] <= passage or v[2] == top]
@@ -241,7 +242,10 @@ def _judged(texts: pa.Array, model: Model, significant: float, passage: float) -
 def toxic_passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT, passage: float = PASSAGE) -> DataFrame:
     """One row for each toxic document with every significant passage: tokens first to last, score, E-value.
 
-    Clean, empty and null texts give no row. A row with a null doc_id is judged too. Repeated rows give repeated rows.
+    Clean, empty and null texts give no row. A row with a null doc_id is judged too. Repeated rows give repeated rows, an
+    empty table none; other columns are ignored. Whether a text is toxic goes by scores damped for bursts of a word,
+    passages by the full ones; e_value ties with passage count as significant. A task holds a few dozen bytes for each
+    byte of its longest text.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -259,7 +263,11 @@ def toxic_passages(docs: DataFrame, model: Model, significant: float = SIGNIFICA
 
 
 def drop_toxic(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) -> DataFrame:
-    """docs without the toxic documents, in one pass without a shuffle; null and empty texts stay."""
+    """docs without the toxic documents, in one pass without a shuffle.
+
+    Null and empty texts stay, and rows with a null doc_id that aren't toxic. Repeated rows stay or go together; an empty
+    table stays empty; columns stay as they are whatever their names.
+    """
     handle, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
 
     def run(batches):
