@@ -42,16 +42,16 @@ def test_run(spark):
     model = toxicity.fit(docs, labels)
     bad = {r.doc_id for r in toxicity.toxic_passages(docs, model).collect()}
     kept = {i: r for i, r in kept.items() if i not in bad}
-    assert bad and stage("toxicity") == Counter(kept)
+    assert bad and stage("toxicity") == Counter(list(kept))
     least = {}
     for i, r in kept.items():
         least[r.text] = min(i, least.get(r.text, i))
     kept = {i: r for i, r in kept.items() if least[r.text] == i}
-    assert stage("exact dedup") == Counter(kept)
+    assert stage("exact dedup") == Counter(list(kept))
     group = {i: g for i, g, _ in brute_classes([(i, r.text) for i, r in kept.items()], ngram_join.THRESHOLD)}
     assert sum(g != i for i, g in group.items()) >= 5
     kept = {i: r for i, r in kept.items() if group[i] == i}
-    assert stage("n-gram Jaccard join") == Counter(kept)
+    assert stage("n-gram Jaccard join") == Counter(list(kept))
     rows, plan = mixing.mix(docs)
     want = Counter({r.doc_id: r[plan.columns[0]] for r in rows.collect()})
     assert stage("mixing sources") == want and want.keys() == kept.keys() and sum(want.values()) > len(want)
