@@ -1,9 +1,12 @@
+import hashlib
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from echofold.errors import DurabilityError, InvalidInput, SafetyError, StateError
+from echofold.functions.blake3 import digests
 from echofold.operators import detect, filters, history, keep, ledger, plan, progress, report
 
 INVENTORY = "path string, size_bytes long, modified_ns long, volume_id string, file_id string, hardlink_count long, access_status string, content binary"
@@ -139,7 +142,10 @@ def test_sinks(spark, tmp_path):
             report.export(r, kind, str(tmp_path / kind))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.columns == list(report.COLUMNS) and {x.path for x in back.collect()} == {"/<a>&'", '/b "x"'}
-    assert len(spark.read.json(str(tmp_path / "json")).first().members) == 2
+    (group,) = json.loads((tmp_path / "json" / "report.json").read_text())
+    assert len(group["members"]) == 2 and group["members"][0]["verified"] is False and group["members"][0]["blake3"] is None
+    page = (tmp_path / "html" / "report.html").read_text()
+    assert page.startswith("<!DOCTYPE html>") and page.count("<tr class=") == 2 and page.rstrip().endswith("</html>")
     assert "&lt;a&gt;&amp;&#39;" in "".join(x.value for x in spark.read.text(str(tmp_path / "html")).collect())
     with pytest.raises(InvalidInput):
         report.export(r, "pdf", str(tmp_path / "pdf"))
@@ -148,7 +154,7 @@ def test_sinks(spark, tmp_path):
     report.replace_session(spark.createDataFrame([(2, "c")], "session_id int, x string"), path)
     assert {(x.session_id, x.x) for x in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
     report.backup(spark, path, str(tmp_path / "backup"))
-    assert report.compact(spark, path, str(tmp_path / "compact"), 1) == (2, 1)
+    assert report.compact(spark, path, str(tmp_path / "compact"), 1).items() >= {"rows": 2, "files": 1}.items()
     size = lambda n: spark.range(1).select(report.humanized(F.lit(n).cast("long"))).first()[0]
     assert [size(5), size(1536), size(5 << 30)] == ["5 B", "1.5 KiB", "5.0 GiB"]
 
@@ -166,9 +172,24 @@ def test_file_source(spark, tmp_path):
     rows = {os.path.relpath(r.path, tmp_path): r for r in found.collect()}
     assert set(rows) == {"a/x.PDF", "b/c/d/y.pdf", ".hidden", "empty", "a/alias"}
     assert rows["a/x.PDF"].extension == "pdf" and rows[".hidden"].extension is None and rows["empty"].link_kind == "hardlink"
-    read = S.with_contents(detect.candidates(found, detect.CONTENT))
-    assert {bytes(r.content) for r in read.collect()} == {b"same"} and all(r.stable for r in read.collect())
-    m = detect.members(S.with_contents(found), detect.CONTENT)
-    assert m.count() == 2
+    read = S.with_digests(detect.candidates(found, detect.CONTENT)).collect()
+    assert {(r.sha256, r.blake3) for r in read} == {(hashlib.sha256(b"same").hexdigest(), digests([b"same"])[0].hex())} and all(r.stable and r.bytes_read == 4 for r in read)
+    quick = S.with_digests(found, quick=True).where("size_bytes = 4").select("quick", detect.quick_signature(F.lit(b"same"), F.lit(4).cast("long")).alias("want")).collect()
+    assert len(quick) == 2 and all(r.quick == r.want for r in quick)
+    big = tmp_path / "big"
+    big.write_bytes(bytes(k % 251 for k in range(300_000)))
+    assert S.quick_digest(str(big), 300_000) == (spark.createDataFrame([(bytearray(big.read_bytes()),)], "c binary").select(detect.quick_signature(F.col("c"), F.lit(300_000).cast("long"))).first()[0], 3 * S.SAMPLE)
+    m = detect.members(S.with_digests(found).where("stable"), detect.CONTENT)
+    assert m.count() == 2 and "blake3" in m.columns
+    scan = {os.path.relpath(r.path, tmp_path): r for r in S.scan_files(spark, str(tmp_path)).collect()}
+    assert scan["link"].outcome == "skipped" and scan["a/x.PDF"].token == scan["a/x.PDF"].token != scan["empty"].token
+    from echofold.functions.text import snapshot_token
+
+    tokens = found.select("token", snapshot_token(F.col("volume_id"), F.col("file_id"), F.col("size_bytes"), F.col("modified_ns")).alias("want")).collect()
+    assert all(r.token == r.want for r in tokens)
+    spark.dataSource.register(S.FileScanSink)
+    S.scan_files(spark, str(tmp_path)).write.format("scan_sink").mode("append").option("path", f"{tmp_path}-sink").save()
+    assert sorted(r.path for r in spark.read.json(f"{tmp_path}-sink").collect()) == sorted(r.path for r in S.scan_files(spark, str(tmp_path)).collect())
+    assert all(n.startswith("part-") for n in os.listdir(f"{tmp_path}-sink"))
     with pytest.raises(Exception):
         S.read_files(spark, str(tmp_path / "nowhere")).count()
