@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions import text as T
+from echofold.functions.shared import small, written
 
 STRICT, CONTENT = "strict", "content"
 SAMPLE = 64 << 10
@@ -52,33 +53,47 @@ def group_id(mode: str) -> Column:
 
 
 def one_per_identity(files: DataFrame, group: list[str]) -> DataFrame:
-    """The first path of each physical file within a group; files of unknown identity are files of their own."""
+    """The first path (in normal form) of each physical file within a group; files of unknown identity are files of their own. One aggregate."""
     columns = [c for c in files.columns if c not in group]
-    row = F.struct("path", *[c for c in columns if c != "path"])
-    known = files.where("volume_id is not null and file_id is not null")
-    first = known.groupBy(*group, F.col("volume_id").alias("__v"), F.col("file_id").alias("__f")).agg(F.min(row).alias("__row"))
-    first = first.select(*group, *[F.col(f"__row.{c}").alias(c) for c in columns])
-    return first.unionByName(files.where("volume_id is null or file_id is null").select(*first.columns))
+    known = F.col("volume_id").isNotNull() & F.col("file_id").isNotNull()
+    row = F.struct(F.lower("path").alias("__normal"), "path", *[c for c in columns if c != "path"])
+    found = files.withColumn("__alone", F.when(~known, F.col("path"))).groupBy(*group, F.when(known, F.col("volume_id")).alias("__v"), F.when(known, F.col("file_id")).alias("__f"), "__alone").agg(F.min(row).alias("__row"))
+    return found.select(*group, *[F.col(f"__row.{c}").alias(c) for c in columns])
 
 
 def members(inventory: DataFrame, mode: str = STRICT, cascade: bool = False) -> DataFrame:
-    """Proven duplicates: group_id, the group's key, sha256, path, modified_ns, identity and doc_id of each.
+    """Proven duplicates: group_id, the group's key, sha256 (and blake3, if the inventory has it), path, modified_ns, identity and doc_id of each.
 
-    cascade: regroup by the quick signature first. It saves reading whole files from a file source; a table's content
-    is read anyway, so that there it only costs a shuffle. The result is the same.
+    The inventory is read once: keys and digests are projected before anything is shuffled, the files of a group are
+    folded by identity and written, and a count of the groups picks those of two or more; no task gets a whole group.
+    cascade: read no content whole whose quick signature no other has. It saves reading whole files from a file source;
+    a table's content is read anyway, so that there it only costs a shuffle. The result is the same.
     """
-    found = candidates(inventory, mode)
+    found = eligible(inventory)
     if cascade:
+        found = candidates(inventory, mode)
         found = found.withColumn("quick", quick_signature(F.col("content"), F.col("size_bytes")))
         again = found.groupBy(*keys(mode), "quick").count().where("count >= 2").drop("count")
         found = found.join(again, [*keys(mode), "quick"], "left_semi")
     if "sha256" not in found.columns:
         found = found.withColumn("sha256", F.sha2("content", 256))
+    proofs = [c for c in ("sha256", "blake3") if c in found.columns]
     kept = [c for c in ("doc_id", "path", "modified_ns", "volume_id", "file_id") if c in found.columns]
-    group = [*keys(mode), "sha256"]
-    single = one_per_identity(found.select(*group, *kept), group)
+    group = [*keys(mode), *proofs]
+    single = written(one_per_identity(found.where("sha256 is not null").select(*group, *kept), group))
     twice = single.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).where("group_size >= 2")
-    return single.join(twice, group).withColumn("group_id", group_id(mode)).drop(*([] if mode == STRICT else ["name"]))
+    same = F.lit(True)
+    few = small(written(twice), 256)
+    for c in group:
+        same &= single[c] == few[c]
+    joined = single.join(few, same).select(*[single[c] for c in single.columns], few["group_size"])
+    return joined.withColumn("group_id", group_id(mode)).drop(*([] if mode == STRICT else ["name"]))
+
+
+def double_proof_groups(inventory: DataFrame, mode: str = STRICT) -> DataFrame:
+    """(the group's key, sha256, blake3, files) of files that agree in both digests; files of an unstable digest are no evidence."""
+    found = members(inventory.where("stable"), mode)
+    return found.groupBy(*[c for c in keys(mode)], "sha256", "blake3").agg(F.count(F.lit(1)).alias("files"))
 
 
 def groups(inventory: DataFrame, mode: str = STRICT) -> DataFrame:
@@ -94,8 +109,9 @@ def reclaimable(size: Column, files: Column) -> Column:
 
 
 def telemetry(inventory: DataFrame, mode: str = STRICT) -> DataFrame:
-    """One row: files seen, unreadable, linked and candidates, and the bytes their quick and full digests read."""
-    seen = inventory.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("access_status") != "readable").alias("unreadable"), F.count_if(F.coalesce("hardlink_count", F.lit(1)) > 1).alias("linked"))
+    """One row: files seen, unreadable, linked, unstable (where that is known) and candidates, and the bytes their quick and full digests read."""
+    unstable = F.count_if(~F.col("stable")) if "stable" in inventory.columns else F.lit(0).cast("long")
+    seen = inventory.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("access_status") != "readable").alias("unreadable"), F.count_if(F.coalesce("hardlink_count", F.lit(1)) > 1).alias("linked"), unstable.alias("unstable"))
     read = candidates(inventory, mode).agg(F.count(F.lit(1)).alias("candidates"), F.coalesce(F.sum(sampled_bytes(F.col("size_bytes"))), F.lit(0)).alias("quick_bytes"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("full_bytes"))
     return seen.crossJoin(read)
 
@@ -106,3 +122,15 @@ def stable(before: list[Column], after: list[Column]) -> Column:
     for a, b in zip(before, after):
         test &= a.eqNullSafe(b)
     return test
+
+
+def volume_key(volume: Column) -> Column:
+    """Files of unknown volume share a bucket."""
+    return F.coalesce(volume, F.lit("__unknown_volume__"))
+
+
+def by_volume(files: DataFrame, tasks_per_volume: int, order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """files in at most so many tasks for each volume, so that no disk is read by more at once, whatever the other volumes; in order within each."""
+    lane = F.pmod(F.xxhash64(*order), F.lit(tasks_per_volume))
+    volumes = files.select(volume_key(F.col("volume_id")).alias("v")).distinct().count()
+    return files.withColumns({"volume_key": volume_key(F.col("volume_id")), "lane": lane}).repartition(max(1, volumes * tasks_per_volume), "volume_key", "lane").sortWithinPartitions("volume_key", "lane", *order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echofold.functions.shared import written
 from echofold.functions.text import ascii_lower
 
 PROBLEMS = ("denied", "offline", "missing", "error")
@@ -18,11 +19,22 @@ def other_paths(members: DataFrame) -> DataFrame:
 
 
 def history(snapshots: DataFrame, recommended: DataFrame) -> DataFrame:
-    """Every snapshot, with group, action, reason and other places for those that are duplicates."""
-    facts = recommended.select("group_id", "path", "action", "reason").join(other_paths(recommended), ["group_id", "path"])
+    """Every snapshot, with group, action, reason and other places for those that are duplicates. What detection found is written once and read for both."""
+    recommended = written(recommended.select("group_id", "path", "action", "reason"))
+    facts = recommended.join(other_paths(recommended), ["group_id", "path"])
     return snapshots.join(facts, "path", "left")
 
 
+def page_of(snapshots: DataFrame, recommended: DataFrame, number: int = 0, size: int = 50) -> DataFrame:
+    """page(history()): the page is taken from the snapshots alone, and only its rows and their groups are joined."""
+    own = F.broadcast(written(page(snapshots, number, size)))
+    recommended = written(recommended.select("group_id", "path", "action", "reason"))
+    hit = recommended.join(own.select("path"), "path", "left_semi")
+    groups = F.broadcast(hit.select("group_id").distinct())
+    facts = hit.join(other_paths(recommended.join(groups, "group_id", "left_semi")), ["group_id", "path"])
+    return own.join(facts, "path", "left").orderBy(F.col("modified_ns").desc(), "path")
+
+
 def duplicates(snapshots: DataFrame, recommended: DataFrame) -> DataFrame:
     return history(snapshots, recommended).where("group_id is not null")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echofold.errors import InvalidInput, SafetyError
 from echofold.functions import text as T
+from echofold.functions.shared import small, written
 
 DEFAULT, OLDEST, NEWEST, SHORTEST, MANUAL = "default", "oldest", "newest", "shortest", "manual"
 REASONS = {
@@ -25,26 +26,35 @@ def primary(path: Column, roots: tuple[str, ...]) -> Column:
     return test
 
 
-def ordering(policy: str, roots: tuple[str, ...] = ()) -> list[Column]:
-    """Sort keys, the keeper first. Paths of one length compare by components."""
-    tail = [F.octet_length("path").asc(), F.split("path", "/").asc(), F.col("path").asc()]
+def rank(policy: str, roots: tuple[str, ...] = ()) -> Column:
+    """What the keeper has least of. Paths of one length compare by components; unknown times come last."""
+    tail = [F.octet_length("path").alias("n"), F.split("path", "/").alias("parts"), F.col("path").alias("p")]
+    last = F.lit((1 << 63) - 1)
     heads = {
-        DEFAULT: [primary(F.col("path"), roots).desc(), F.col("modified_ns").asc_nulls_last()],
-        OLDEST: [F.col("modified_ns").asc_nulls_last()],
-        NEWEST: [F.col("modified_ns").desc_nulls_last()],
+        DEFAULT: [(~primary(F.col("path"), roots)).alias("other"), F.coalesce("modified_ns", last).alias("t")],
+        OLDEST: [F.coalesce("modified_ns", last).alias("t")],
+        NEWEST: [F.coalesce(-F.col("modified_ns"), last).alias("t")],
         SHORTEST: [],
     }
     if policy not in heads:
         raise InvalidInput(f"no policy {policy!r}")
-    return heads[policy] + tail
+    return F.struct(*heads[policy], *tail)
 
 
 def recommend(members: DataFrame, policy: str = DEFAULT, roots: tuple[str, ...] = ()) -> DataFrame:
-    """members with action (keep for one of each group, quarantine for the rest) and reason."""
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(*ordering(policy, roots)))
-    action = F.when(F.col("__rank") == 1, "keep").otherwise("quarantine")
-    reason = F.when(F.col("__rank") == 1, REASONS[policy]).otherwise("identical to the keeper")
-    return members.withColumn("__rank", rank).withColumns({"action": action, "reason": reason}).drop("__rank")
+    """members with action (keep for one of each group, quarantine for the rest) and reason. The keeper is an aggregate, combined before it is shuffled; no task sorts a group."""
+    keepers = members.groupBy(F.col("group_id").alias("__group")).agg(F.min_by("path", rank(policy, roots)).alias("__keeper"))
+    keepers = small(written(keepers), 256)
+    own = F.col("path") == F.col("__keeper")
+    found = members.join(keepers, F.col("group_id") == F.col("__group"))
+    return found.withColumns({"action": F.when(own, "keep").otherwise("quarantine"), "reason": F.when(own, REASONS[policy]).otherwise("identical to the keeper")}).drop("__group", "__keeper")
+
+
+def require_manual(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """recommend_manual(), but a chosen path that isn't the group's raises."""
+    if not chosen.join(members.select("group_id", "path"), ["group_id", "path"], "left_anti").isEmpty():
+        raise InvalidInput("a chosen path is not of its group")
+    return recommend_manual(members, chosen)
 
 
 def recommend_manual(members: DataFrame, chosen: DataFrame) -> DataFrame:

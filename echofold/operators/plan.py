@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.errors import SafetyError
+from echofold.functions.shared import written
+from echofold.functions.text import contains
 
 
 def seal_violations(items: DataFrame) -> DataFrame:
@@ -19,8 +21,15 @@ def seal(items: DataFrame) -> DataFrame:
     """items with the plan's digest; raises if the plan can't be sealed."""
     if not seal_violations(items).isEmpty():
         raise SafetyError("the plan has groups that can't be sealed")
-    digest = items.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "group_id", "path", "action"), 256)))), 256).alias("plan_digest"))
-    return items.crossJoin(F.broadcast(digest))
+    return items.crossJoin(F.broadcast(items.agg(set_digest("group_id", "path", "action").alias("plan_digest"))))
+
+
+def set_digest(*columns: str) -> Column:
+    """A digest of rows in any order, as an aggregate of fixed size: sums and xors of parts of each row's SHA-256, and the number of rows."""
+    row = F.sha2(F.to_json(F.struct(*columns)), 256)
+    part = lambda k: F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(part(k)), F.lit(0)).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums, F.coalesce(F.bit_xor(F.xxhash64(row)), F.lit(0)).cast("string")), 256)
 
 
 def summary(items: DataFrame) -> DataFrame:
@@ -29,13 +38,19 @@ def summary(items: DataFrame) -> DataFrame:
     return q.agg(F.countDistinct("group_id").alias("groups"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
-def destination(path: Column, root: str, session: str, item: Column) -> Column:
-    """Where a file would be moved to; null for a path outside every root."""
-    return F.concat_ws("/", F.lit(root), F.lit(session), item, F.regexp_replace(path, "^/+", ""))
+def destination(path: Column, root: str, session: str, item: Column, roots: tuple[str, ...] | None = None) -> Column:
+    """Where a file would be moved to; null for a path outside every root, if roots are given."""
+    inside = F.lit(True)
+    if roots is not None:
+        inside = F.lit(False)
+        for r in roots:
+            inside |= contains(r, path)
+    return F.when(inside, F.concat_ws("/", F.lit(root), F.lit(session), item, F.regexp_replace(path, "^/+", "")))
 
 
 def dry_run(items: DataFrame, root: str = "/quarantine", session: str = "s1") -> DataFrame:
     """Every move the plan would make, with its group's keeper; groups without a keeper make none."""
+    items = written(items.select("group_id", "path", "size_bytes", "action"))
     keepers = items.where("action = 'keep'").select("group_id", F.col("path").alias("keeper_path"))
     moves = items.where("action = 'quarantine'").join(keepers, "group_id")
     return moves.select("group_id", "path", "size_bytes", "keeper_path", destination(F.col("path"), root, session, F.substring("group_id", 1, 16)).alias("destination"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +12,18 @@ from echofold.errors import DurabilityError, InvalidInput
 COLUMNS = ("group_id", "path", "size_bytes", "action", "reason", "blake3", "sha256", "verified")
 
 
-def rows(recommended: DataFrame, blake3: Column | None = None) -> DataFrame:
-    """The report's eight columns, one row for each member."""
-    b = F.lit(None).cast("string") if blake3 is None else blake3
-    return recommended.select("group_id", "path", "size_bytes", "action", "reason", b.alias("blake3"), "sha256", F.col("sha256").isNotNull().alias("verified"))
+def rows(recommended: DataFrame) -> DataFrame:
+    """The report's eight columns, one row for each member. verified: both digests are there and were stable (columns blake3, and stable if any)."""
+    has = lambda c: F.col(c) if c in recommended.columns else F.lit(None).cast("string")
+    stable = F.coalesce(F.col("stable"), F.lit(False)) if "stable" in recommended.columns else F.lit(True)
+    verified = has("blake3").isNotNull() & has("sha256").isNotNull() & stable
+    return recommended.select("group_id", "path", "size_bytes", "action", "reason", has("blake3").alias("blake3"), has("sha256").alias("sha256"), verified.alias("verified"))
 
 
 def nested(report: DataFrame) -> DataFrame:
-    """One row for each group with its members as an array."""
+    """One row for each group with its members as an array; groups of large files first."""
     member = F.struct("path", "action", "reason", "blake3", "sha256", "verified")
-    return report.groupBy("group_id", "size_bytes").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return report.groupBy("group_id", "size_bytes").agg(F.array_sort(F.collect_list(member)).alias("members")).orderBy(F.col("size_bytes").desc(), "group_id")
 
 
 def escaped(text: Column) -> Column:
@@ -42,15 +46,29 @@ def humanized(size: Column) -> Column:
     return out
 
 
+HEAD = "<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Duplicates</title><style>.keep{background:#dfd}.quarantine{background:#fdd}</style></head><body><table><tr><th>group</th><th>path</th><th>bytes</th><th>reason</th></tr>"
+
+
+def _one_document(lines: DataFrame, path: str, head: str, between: str, tail: str, name: str) -> None:
+    """Streams ordered lines, partition by partition, into one file of a new folder."""
+    os.makedirs(path)
+    with open(os.path.join(path, name), "w", encoding="utf-8") as f:
+        f.write(head + "\n")
+        for k, row in enumerate(lines.toLocalIterator(prefetchPartitions=True)):
+            f.write((between if k else "") + row.value + "\n")
+        f.write(tail + "\n")
+
+
 def export(report: DataFrame, kind: str, path: str) -> None:
-    """Writes csv, json or html in parallel as files of a new folder."""
+    """Writes a new folder: csv in parallel; json (one array of groups with their members) and html (one page) as one file each, streamed in order."""
     if kind == "csv":
         report.select(*COLUMNS).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
-        nested(report).write.mode("errorifexists").json(path)
+        lines = nested(report).select(F.to_json(F.struct("group_id", "size_bytes", "members"), {"ignoreNullFields": "false"}).alias("value"))
+        _one_document(lines, path, "[", ",", "]", "report.json")
     elif kind == "html":
-        page = html_rows(report).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list("html")), "\n").alias("value"))
-        page.select(F.concat(F.lit("<table>\n"), F.col("value"), F.lit("\n</table>")).alias("value")).write.mode("errorifexists").text(path)
+        page = html_rows(report).orderBy("group_id", "path").select(F.col("html").alias("value"))
+        _one_document(page, path, HEAD, "", "</table></body></html>", "report.html")
     else:
         raise InvalidInput(f"no report format {kind!r}")
 
@@ -65,15 +83,21 @@ def backup(spark: SparkSession, source: str, target: str) -> None:
     spark.read.parquet(source).write.mode("errorifexists").parquet(target)
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int) -> tuple[int, int]:
-    """Rewrites a table into fewer files; (rows, files) after. Raises if a row went missing."""
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def compact(spark: SparkSession, source: str, target: str, files: int) -> dict[str, int]:
+    """Rewrites a table into fewer files: rows, files, and bytes before, after and reclaimed. Raises if a row went missing."""
     before = spark.read.parquet(source)
     before.coalesce(files).write.mode("errorifexists").parquet(target)
     after = spark.read.parquet(target)
     n = after.count()
     if n != before.count():
         raise DurabilityError("compaction changed the number of rows")
-    return n, len(after.inputFiles())
+    old, new = _bytes(spark, source), _bytes(spark, target)
+    return {"rows": n, "files": len(after.inputFiles()), "before": old, "after": new, "reclaimed": max(0, old - new)}
 
 
 def constraint_violations(df: DataFrame, unique: list[list[str]] = (), allowed: dict[str, tuple] | None = None, required: tuple[str, ...] = (), nonnegative: tuple[str, ...] = ()) -> DataFrame:
