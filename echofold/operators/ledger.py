@@ -88,9 +88,15 @@ def effective_state(state: Column, delete_state: Column) -> Column:
 
 def batch_totals(entries: DataFrame, by: str = "project") -> DataFrame:
     """A batch's count, bytes, selection digest and the phrase that confirms it. Sums that overflow are errors."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("entry").cast("string"))), ","), 256)
-    found = entries.groupBy(by).agg(F.count(F.lit(1)).alias("items"), F.countDistinct("entry").alias("distinct_items"), F.sum("size_bytes").alias("bytes"), digest.alias("selection"))
-    return found.withColumn("phrase", F.format_string("DELETE %d FILES %d BYTES", "items", "bytes"))
+    once = entries.groupBy(by, "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("size_bytes"))
+    part = F.conv(F.substring(F.sha2(F.col("entry").cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    found = once.groupBy(by).agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("distinct_items"), F.sum("size_bytes").alias("bytes"), F.sum(part * F.col("n")).cast("decimal(38,0)").cast("string").alias("selection"))
+    return found.withColumn("phrase", phrase(F.col("items"), F.col("bytes")))
+
+
+def phrase(items: Column, bytes_: Column, immediate: bool = False) -> Column:
+    """What a user types to confirm a batch: count, bytes and whether retention is passed over."""
+    return F.format_string(f"DELETE %d FILES %d BYTES{' NOW' if immediate else ''}", items, bytes_)
 
 
 def outcome(items: DataFrame, by: str = "project") -> DataFrame:
@@ -108,8 +114,8 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 class Ledger:
     """An append-only JSON-lines ledger with compare-and-set steps. One writer, on the driver; read it with frame()."""
 
-    def __init__(self, folder: str, steps: frozenset = TRANSITIONS, first: str = "planned"):
-        self.folder, self.steps, self.first = folder, steps, first
+    def __init__(self, folder: str, steps: frozenset = TRANSITIONS, first: str | tuple[str, ...] = "planned"):
+        self.folder, self.steps, self.first = folder, steps, (first,) if isinstance(first, str) else first
         os.makedirs(folder, exist_ok=True)
         self.path, self.lock = os.path.join(folder, "events.jsonl"), os.path.join(folder, "writer.lock")
         try:
@@ -131,7 +137,7 @@ class Ledger:
         now = self.states.get(entity)
         if expected is not None and now != expected:
             raise StateError(f"{entity} is {now}, not {expected}")
-        if now is None and state != self.first or now is not None and (now, state) not in self.steps:
+        if now is None and state not in self.first or now is not None and (now, state) not in self.steps:
             raise StateError(f"no step from {now} to {state}")
         if {"entity", "state", "sequence"} & payload.keys():
             raise InvalidInput("reserved key in payload")
