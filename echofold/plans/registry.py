@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions import text as T
 from echofold.functions.blake3 import blake3
+from echofold.functions.shared import folder
 from echofold.operators import detect, filters, history, keep, ledger, plan, progress, report
 from echofold.sources import files
 from echofold.sources import inventory as I
@@ -21,7 +20,7 @@ from echofold.streaming import incremental
 PRIMARY = ("/src1",)
 FILTER = filters.FilterConfig(include=("pdf",), globs=("**/cache/**",), minimum=100)
 ROOTS = ["/src1", "/src1/d15", "/src10", "/src1", "/src2/", "/src2/cache", "/.echofold-quarantine/x", "/src3/cache/d69"]
-NOW_NS, RETENTION_DAYS = 12 * 86_400 * 10**9, 7
+NOW_NS, RETENTION_DAYS = 22 * 86_400 * 10**9, 7
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -230,7 +229,7 @@ def _(spark, sf_dir):
 @query(
     "detection_telemetry",
     f"""with {_INV}, c as (select * from el where size_bytes in (select size_bytes from el group by 1 having count(*) >= 2))
-select (select count(*) from named) as files, (select count(*) from named where access_status <> 'readable') as unreadable, (select count(*) from named where hardlink_count > 1) as linked,
+select (select count(*) from named) as files, (select count(*) from named where access_status <> 'readable') as unreadable, (select count(*) from named where hardlink_count > 1) as linked, cast(0 as bigint) as unstable,
   count(*) as candidates, cast(coalesce(sum(case when size_bytes <= 65536 then size_bytes else least(size_bytes, 196608) end), 0) as bigint) as quick_bytes, cast(coalesce(sum(size_bytes), 0) as bigint) as full_bytes from c""",
 )
 def _(spark, sf_dir):
@@ -367,7 +366,8 @@ def _(spark, sf_dir):
 
 @query("history_page", f"with {_HIST} select doc_id, path, group_id, modified_ns from h order by modified_ns desc, path limit 50 offset 50")
 def _(spark, sf_dir):
-    return history.page(_history(spark, sf_dir), 1, 50).select("doc_id", "path", "group_id", "modified_ns")
+    t = I.of_documents(spark, sf_dir).select("doc_id", "path", "modified_ns")
+    return history.page_of(t, _recommended(spark, sf_dir), 1, 50).select("doc_id", "path", "group_id", "modified_ns")
 
 
 @query("problem_files", f"with {_INV} select doc_id, path, access_status from named where access_status in ('denied', 'offline', 'missing', 'error')")
@@ -503,7 +503,7 @@ def _(spark, sf_dir):
 
 @query(
     "delete_batch_totals",
-    f"""with {_Q} select project, count(*) as items, count(distinct entry) as distinct_items, cast(sum(size_bytes) as bigint) as bytes, sha256(string_agg(cast(entry as varchar), ',' order by cast(entry as varchar))) as selection,
+    f"""with {_Q} select project, count(*) as items, count(distinct entry) as distinct_items, cast(sum(size_bytes) as bigint) as bytes, cast(sum(cast('0x' || substring(sha256(cast(entry as varchar)), 1, 15) as bigint)) as varchar) as selection,
   'DELETE ' || count(*) || ' FILES ' || sum(size_bytes) || ' BYTES' as phrase from q where {_DELETABLE} group by 1""",
 )
 def _(spark, sf_dir):
@@ -519,9 +519,9 @@ def _(spark, sf_dir):
     return ledger.outcome(_quarantine(spark, sf_dir).withColumnRenamed("delete_state", "item_state"))
 
 
-@query("restore_scope_session", f"with {_Q} select entry, path, destination from q where state = 'verified' and delete_state = 'active' and project = 'src1'")
+@query("restore_scope_session", f"with {_Q} select entry, path, destination from q where state = 'verified' and delete_state = 'active' and project in ('src2', 'src3', 'src4', 'src5', 'src6', 'src7')")
 def _(spark, sf_dir):
-    return _quarantine(spark, sf_dir).where("state = 'verified' and delete_state = 'active' and project = 'src1'").select("entry", "path", "destination")
+    return _quarantine(spark, sf_dir).where("state = 'verified' and delete_state = 'active' and project in ('src2', 'src3', 'src4', 'src5', 'src6', 'src7')").select("entry", "path", "destination")
 
 
 @query("restore_scope_group", f"with {_Q}, b as (select group_id from rec group by 1 having count(*) >= 3) select entry, group_id, path from q where state = 'verified' and delete_state = 'active' and group_id in (select group_id from b)")
@@ -535,9 +535,9 @@ def _(spark, sf_dir):
 _REASON = f"case action when 'keep' then '{keep.REASONS[keep.DEFAULT]}' else 'identical to the keeper' end"
 
 
-@query("report_csv_rows", f"with {_REC} select group_id, path, size_bytes, action, {_REASON} as reason, cast(null as varchar) as blake3, sha256, true as verified from rec")
+@query("report_csv_rows", f"with {_REC} select group_id, path, size_bytes, action, {_REASON} as reason, cast(null as varchar) as blake3, sha256, false as verified from rec")
 def _(spark, sf_dir):
-    return report.rows(_recommended(spark, sf_dir))
+    return report.rows(_recommended(spark, sf_dir))  # one digest alone verifies nothing; report_verified has both
 
 
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -553,12 +553,13 @@ def _(spark, sf_dir):
 
 def _table_groups(table: DataFrame, content: str) -> DataFrame:
     """Exact duplicates of any text column: groups by size and digest."""
-    t = table.select(F.octet_length(content).cast("long").alias("size_bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256")).where("sha256 is not null")
+    text = F.expr(content)
+    t = table.select(F.octet_length(text).cast("long").alias("size_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256")).where("sha256 is not null")
     found = t.groupBy("size_bytes", "sha256").agg(F.count(F.lit(1)).alias("files")).where("files >= 2")
     return found.withColumn("reclaimable_bytes", detect.reclaimable(F.col("size_bytes"), F.col("files")))
 
 
-for _name, _table, _column in (("dup_pages_content", "pages", "html"), ("dup_conversations", "conversations", "text"), ("dup_part_names", "part", "p_name")):
+for _name, _table, _column in (("dup_page_hosts", "pages", "regexp_extract(url, '://([^/]+)', 1)"), ("dup_conversation_roles", "conversations", "role"), ("dup_part_names", "part", "p_name")):
     query(_name, f"select cast(strlen({_column}) as bigint) as size_bytes, sha256({_column}) as sha256, count(*) as files, cast(strlen({_column}) * (count(*) - 1) as bigint) as reclaimable_bytes from {_table} where {_column} is not null group by {_column} having count(*) >= 2")(
         lambda spark, sf_dir, t=_table, c=_column: _table_groups(spark.read.parquet(f"{sf_dir}/{t}.parquet"), c)
     )
@@ -593,19 +594,12 @@ def _(spark, sf_dir):
     return synthetic(spark, 100_000).groupBy("sha256").agg(F.count(F.lit(1)).alias("files")).where("files >= 2")
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="echofold-")
-    return f"{root.rstrip('/')}/echofold-stream-{uuid.uuid4().hex}"
-
-
 @query("stream_latest_state", f"with {_LEDGER} select entity, max_by(state, sequence) as state, max(sequence) as sequence from ev group by 1")
 def _(spark, sf_dir):
-    events, shared = spark.read.parquet(f"{sf_dir}/events.parquet"), _shared(spark)
+    events, shared = spark.read.parquet(f"{sf_dir}/events.parquet"), folder(spark)
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
     incremental.upsert(ledger.as_ledger(stream), f"{shared}/table", f"{shared}/checkpoint", ["entity"], "sequence").awaitTermination()
-    return spark.read.parquet(f"{shared}/table/v0").select("entity", "state", "sequence")
+    return incremental.read_table(spark, f"{shared}/table").select("entity", "state", "sequence")
+
+
+from echofold.plans import catalog_queries  # noqa: E402, F401

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from echofold.errors import DurabilityError
+
 
 def arriving_duplicates(files: DataFrame) -> DataFrame:
     """(sha256, size_bytes, path, keeper, ordinal) of every arriving file whose content came before; files: path, size_bytes, sha256.
@@ -41,17 +43,59 @@ def current_states(events: DataFrame) -> DataFrame:
     return events.groupBy("entity").agg(F.max(F.struct("sequence", "state")).alias("l")).select("entity", "l.sequence", "l.state")
 
 
-def upsert(updates: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps a table of the newest row of each key: versions v0, v1, ... by batch, so that a repeated batch rewrites its own."""
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, int] | None:
+    """The version of each bucket after a batch."""
+    store, p = _store(spark, f"{path}/manifest-{number}.json")
+    return {k: int(v) for k, v in json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest-{number}.json").collect())).items()} if store.exists(p) else None
+
+
+def _bucket_paths(path: str, versions: dict[str, int]) -> list[str]:
+    return [f"{path}/v{v}/bucket={k}" for k, v in sorted(versions.items())]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of upsert() after its last batch."""
+    store, p = _store(spark, path)
+    numbers = [int(f.getPath().getName()[9:-5]) for f in store.listStatus(p) if f.getPath().getName().startswith("manifest-")]
+    if not numbers:
+        raise DurabilityError(f"no table at {path}")
+    return spark.read.parquet(*_bucket_paths(path, _manifest(spark, path, max(numbers))))
+
+
+def upsert(updates: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps a table of the newest row of each key, in buckets of the keys' hash: a batch rewrites only those that it has rows for.
+
+    A batch's buckets are written under its number, then a manifest that names each bucket's version; a repeated batch
+    does the same again. A batch whose predecessor's manifest is missing fails. Versions that no manifest names any
+    longer are removed after the next batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 1}")
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number and fs.exists(fs_path) else batch.limit(0)
-        both = old.unionByName(batch)
-        rows = both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = _manifest(spark, path, number - 1) if number else {}
+        if old is None:
+            raise DurabilityError(f"the table at {path} lacks batch {number - 1}")
+        batch = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(str(r[0]) for r in batch.select("__bucket").distinct().collect())  # at most so many
+        known = [p for p in _bucket_paths(path, {k: old[k] for k in touched if k in old})]
+        both = batch
+        for p in known:
+            both = both.unionByName(spark.read.parquet(p).withColumn("__bucket", F.lit(int(p.rsplit("=", 1)[1]))))
+        rows = both.groupBy("__bucket", *keys).agg(F.max_by(F.struct(*[c for c in both.columns if c != "__bucket"]), order).alias("r")).select(F.col("__bucket").alias("bucket"), "r.*")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+        store, p = _store(spark, f"{path}/manifest-{number}.json")
+        out = store.create(p, True)
+        out.write(bytearray(json.dumps(old | {k: number for k in touched}).encode()))
+        out.close()
+        before = _manifest(spark, path, number - 2) if number > 1 else None
+        for k, v in (before or {}).items():
+            if old.get(k) != v:
+                store.delete(_store(spark, f"{path}/v{v}/bucket={k}")[1], True)
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -22,7 +22,7 @@ def test_upsert_folds_like_a_batch(spark, tmp_path):
     for rows in ([(1, 1, "planned"), (2, 2, "planned")], [(1, 3, "moving"), (3, 4, "planned")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
         S.upsert(spark.readStream.schema(schema).json(source), table, str(tmp_path / "cp"), ["entity"], "sequence").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{table}/v1").collect())) == [(1, 3, "moving"), (2, 2, "planned"), (3, 4, "planned")]
+    assert sorted(map(tuple, S.read_table(spark, table).collect())) == [(1, 3, "moving"), (2, 2, "planned"), (3, 4, "planned")]
 
 
 def test_control(spark):
