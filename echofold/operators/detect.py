@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions import text as T
-from echofold.functions.shared import small, written
+from echofold.functions.shared import written
 
 STRICT, CONTENT = "strict", "content"
 SAMPLE = 64 << 10
@@ -81,12 +81,11 @@ def members(inventory: DataFrame, mode: str = STRICT, cascade: bool = False) ->
     kept = [c for c in ("doc_id", "path", "modified_ns", "volume_id", "file_id") if c in found.columns]
     group = [*keys(mode), *proofs]
     single = written(one_per_identity(found.where("sha256 is not null").select(*group, *kept), group))
-    twice = single.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).where("group_size >= 2")
+    twice = single.groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.count(F.lit(1)).alias("group_size")).where("group_size >= 2")
     same = F.lit(True)
-    few = small(written(twice), 256)
     for c in group:
-        same &= single[c] == few[c]
-    joined = single.join(few, same).select(*[single[c] for c in single.columns], few["group_size"])
+        same &= F.col(c) == F.col(f"__{c}")
+    joined = single.join(twice, same).drop(*[f"__{c}" for c in group])  # broadcast at run time if it proves small
     return joined.withColumn("group_id", group_id(mode)).drop(*([] if mode == STRICT else ["name"]))
 
 

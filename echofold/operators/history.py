@@ -25,10 +25,15 @@ def history(snapshots: DataFrame, recommended: DataFrame) -> DataFrame:
     return snapshots.join(facts, "path", "left")
 
 
-def page_of(snapshots: DataFrame, recommended: DataFrame, number: int = 0, size: int = 50) -> DataFrame:
-    """page(history()): the page is taken from the snapshots alone, and only its rows and their groups are joined."""
-    own = F.broadcast(written(page(snapshots, number, size)))
-    recommended = written(recommended.select("group_id", "path", "action", "reason"))
+def page_of(snapshots: DataFrame, recommended: DataFrame, number: int = 0, size: int = 50, stored: bool = False) -> DataFrame:
+    """page(history()): the page is taken from the snapshots alone, and only its rows and their groups are joined.
+
+    stored: recommended is a table already, and isn't written for being read twice.
+    """
+    rows = page(snapshots, number, size)
+    own = F.broadcast(snapshots.sparkSession.createDataFrame(rows.collect(), rows.schema))  # 200 rows at most
+    recommended = recommended.select("group_id", "path", "action", "reason")
+    recommended = recommended if stored else written(recommended)
     hit = recommended.join(own.select("path"), "path", "left_semi")
     groups = F.broadcast(hit.select("group_id").distinct())
     facts = hit.join(other_paths(recommended.join(groups, "group_id", "left_semi")), ["group_id", "path"])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from echofold.errors import InvalidInput, SafetyError
 from echofold.functions import text as T
-from echofold.functions.shared import small, written
 
 DEFAULT, OLDEST, NEWEST, SHORTEST, MANUAL = "default", "oldest", "newest", "shortest", "manual"
 REASONS = {
@@ -44,9 +43,8 @@ def rank(policy: str, roots: tuple[str, ...] = ()) -> Column:
 def recommend(members: DataFrame, policy: str = DEFAULT, roots: tuple[str, ...] = ()) -> DataFrame:
     """members with action (keep for one of each group, quarantine for the rest) and reason. The keeper is an aggregate, combined before it is shuffled; no task sorts a group."""
     keepers = members.groupBy(F.col("group_id").alias("__group")).agg(F.min_by("path", rank(policy, roots)).alias("__keeper"))
-    keepers = small(written(keepers), 256)
     own = F.col("path") == F.col("__keeper")
-    found = members.join(keepers, F.col("group_id") == F.col("__group"))
+    found = members.join(keepers, F.col("group_id") == F.col("__group"))  # broadcast at run time if it proves small
     return found.withColumns({"action": F.when(own, "keep").otherwise("quarantine"), "reason": F.when(own, REASONS[policy]).otherwise("identical to the keeper")}).drop("__group", "__keeper")
 
 

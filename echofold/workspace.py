@@ -247,7 +247,7 @@ class Workspace:
         files, numbers = self.inventory(session), [x["plan"] for x in self.plans() if x["session"] == session]
         items = self.plan(numbers[-1]) if numbers else self.members(session).withColumns({"action": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
         shown = files.select("path", "size_bytes", "modified_ns", "access_status")
-        return history.page(history.search(history.history(shown, items), text), page) if text.strip() else history.page_of(shown, items, page)
+        return history.page(history.search(history.history(shown, items), text), page) if text.strip() else history.page_of(shown, items, page, stored=True)
 
     def storage(self, session: str) -> DataFrame:
         return history.storage(self.inventory(session))
