@@ -504,7 +504,7 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
             break
         found = scratch.table(rows.mapInArrow(_one_pass(parents, table, k, burn_in, buckets), _STATE), "pass")
         hot = Hot(hot.u, hot.spread, hot.customers, _hot_sums(found, "opened", len(hot.u)))
-    groups = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 2)
     scored = rows.mapInArrow(_score(parents, table, passes, burn_in, samples, groups), "g int, packed binary").repartition(groups, "g")
     sums = scored.mapInArrow(_summed, "doc_id long, n long, lp double")
     every = base.select(F.coalesce("doc_id", F.lit(none)).alias("doc_id")).distinct()
