@@ -6,6 +6,13 @@ from __future__ import annotations
 class EngineError(Exception):
     exit_code, retryable = 20, False
 
+    @classmethod
+    def of(cls, operation: str, path: str, cause: Exception) -> EngineError:
+        """What was done to which path, and what came of it."""
+        made = cls(f"{operation} {path}: {cause}")
+        made.operation, made.path, made.__cause__ = operation, path, cause
+        return made
+
 
 class InvalidInput(EngineError):
     exit_code = 2

@@ -48,7 +48,9 @@ class FilterConfig:
 
 
 def apply(inventory: DataFrame, config: FilterConfig) -> DataFrame:
-    return inventory.where(config.condition(F.col("path"), F.col("size_bytes")))
+    """The files that pass; columns system and hidden (attributes of some file systems) count where there are any."""
+    has = lambda c: F.col(c) if c in inventory.columns else None
+    return inventory.where(config.condition(F.col("path"), F.col("size_bytes"), has("system"), has("hidden")))
 
 
 def overlapping_roots(roots: DataFrame, root: str = "root") -> DataFrame:
