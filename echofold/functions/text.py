@@ -127,3 +127,13 @@ def glob_regex(pattern: str) -> str:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rfc3339(at_ns: Column) -> Column:
+    """UTC time of nanoseconds since 1970 (also before it), to the microsecond; the session's time zone must be UTC."""
+    return F.date_format(F.timestamp_micros(F.floor(at_ns / F.lit(1000)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """Nanoseconds of such a time; null for what is none."""
+    return F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"))) * 1000

@@ -6,6 +6,7 @@ import json
 import logging
 import os
 import re
+import resource
 import time
 from datetime import datetime, timezone
 
@@ -160,6 +161,11 @@ def benchmark_totals(files: DataFrame, seconds: float | None = None) -> DataFram
     return files.agg(F.count(F.lit(1)).alias("files"), total.alias("bytes"), (total / F.lit(float(1 << 20)) / F.lit(seconds) if seconds else F.lit(None)).cast("double").alias("mib_per_second"))
 
 
+def peak_rss() -> int:
+    """The largest resident size of this process so far, in bytes."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+
 def observed_counters(scan: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
     """scan, and its counters, which are there once an action on it has run; no second pass."""
     seen = Observation(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import os
 import time
 from collections.abc import Callable
@@ -71,7 +72,8 @@ def execute(book: Ledger, batch: dict, token: str, typed: str, now_ns: int | Non
     A file that is missing counts as removed only if its removal had begun before, which the ledger says.
     """
     now_ns, name = time.time_ns() if now_ns is None else now_ns, batch["batch"]
-    if hashlib.sha256(token.encode()).hexdigest() != (stored or batch).get("token_digest", hashlib.sha256(batch.get("token", "").encode()).hexdigest()) or typed != batch["phrase"]:
+    wanted = (stored or batch).get("token_digest", hashlib.sha256(batch.get("token", "").encode()).hexdigest())
+    if not hmac.compare_digest(hashlib.sha256(token.encode()).hexdigest(), wanted) or typed != batch["phrase"]:
         raise InvalidInput("the token or the phrase is not the batch's")
     state = book.states.get(name)
     if state not in ("batch:prepared", "batch:recovery_required"):

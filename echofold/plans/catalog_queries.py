@@ -419,3 +419,10 @@ def _(spark, sf_dir):
 @query("path_keys_fold_case", f"with {_INV} select doc_id, sha256(lower(path)) as path_key from named")
 def _(spark, sf_dir):
     return I.of_documents(spark, sf_dir).select("doc_id", T.path_key(F.upper("path"), True).alias("path_key"))
+
+
+@query("rfc3339_times", f"with {_INV} select doc_id, strftime(make_timestamp((modified_ns - 9) * 86400000000 + doc_id), '%Y-%m-%dT%H:%M:%S.%fZ') as shown, ((modified_ns - 9) * 86400000000 + doc_id) * 1000 as back from named")
+def _(spark, sf_dir):
+    at = ((F.col("modified_ns") - 9) * F.lit(86_400_000_000) + F.col("doc_id")) * 1000
+    d = I.of_documents(spark, sf_dir).select("doc_id", T.rfc3339(at).alias("shown"))
+    return d.withColumn("back", T.from_rfc3339(F.col("shown")))
