@@ -146,7 +146,7 @@ def _summed_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return key, np.bincount(inverse, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
 
 
-def _survey(buckets: int, most: int = 2_000_000):
+def _survey(buckets: int, most: int = 1_000_000):
     """Tokens by context, summed in the task, by bucket of the contexts."""
 
     def out(key, n):
@@ -253,13 +253,22 @@ class Part:
 
     @classmethod
     def of(cls, blobs: list[bytes]) -> Part:
-        u, w, doc = (np.concatenate(x) for x in zip(*map(_open, blobs)))
-        ids, doc = np.unique(doc, return_inverse=True)
-        order = np.lexsort((doc, w, u))
-        u, w, doc = u[order], w[order], doc[order]
+        u, w, doc = [], [], []
+        while blobs:  # arrays of a part are large: none is held longer or wider than it must be
+            for held, x in zip((u, w, doc), _open(blobs.pop())):
+                held.append(x)
+        doc = np.concatenate(doc)
+        ids = np.unique(doc)
+        doc = np.searchsorted(ids, doc).astype(np.int32)
+        u, w = np.concatenate(u), np.concatenate(w)
+        order = np.lexsort((doc, w, u)).astype(np.int32)
+        u = u[order]
+        w = w[order]
+        doc = doc[order]
+        del order
         new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
         first = np.flatnonzero(new)
-        return cls(u[first], w[first], np.diff(np.append(first, len(u))), np.cumsum(new) - 1, doc, ids)
+        return cls(u[first], w[first], np.diff(np.append(first, len(u))), np.cumsum(new, dtype=np.int32) - np.int32(1), doc, ids)
 
     def dump(self) -> bytes:
         head = np.array([len(self.c), len(self.doc), len(self.ids)], "<i8").tobytes()
@@ -274,7 +283,7 @@ class Part:
         c = c.astype(np.int64)
         (doc,) = _unpack(x[40 + a : 40 + a + b], m, "<i4")
         (ids,) = _unpack(x[40 + a + b :], k, "<i8")
-        return cls(np.cumsum(u), w, c, np.repeat(np.arange(n), c), doc, np.cumsum(ids))
+        return cls(np.cumsum(u), w, c, np.repeat(np.arange(n, dtype=np.int32), c), doc, np.cumsum(ids))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The part's words, sorted, and the word of each dish."""
