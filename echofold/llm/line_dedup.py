@@ -1,10 +1,10 @@
 """Lines that different texts share, found by a sharded minimal perfect hash (operator 5).
 
-Only 64-bit hashes of lines are counted. Each shard of the hash space puts its lines that two different texts hold
-into a minimal perfect hash (levels of bit arrays; a key lives in the first level where it is alone) that indexes
-arrays of fingerprints, counts and owners: the text of the smallest doc_id with the line, which keeps it. A line that
-isn't there is in one text only, and need not be stored for that. Shards are files in the shared folder; documents
-probe them, no line is joined.
+Only 64-bit hashes of lines are counted. Each shard of the hash space puts all its distinct lines into a minimal
+perfect hash (levels of bit arrays; a key lives in the first level where it is alone) that indexes a bit for each line:
+whether different texts hold it. Those that do have fingerprints, counts and owners: the text of the smallest doc_id
+with the line, which keeps it. As every line is there, none with a hash of its own can pass for another. Shards are
+files in the shared folder; documents probe them, no line is joined.
 """
 
 from __future__ import annotations
@@ -34,27 +34,40 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
 
 
+def _before(words: np.ndarray) -> np.ndarray:
+    """How many bits are set before each word."""
+    n = np.bitwise_count(words).astype(np.int64)
+    return np.cumsum(n) - n
+
+
+def _look(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each bit is set, and the ranks of those that are."""
+    word, bit = words[at >> 6], (at & 63).astype(np.uint64)
+    hit = (word >> bit) & np.uint64(1) == 1
+    below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+    return hit, ranks[at[hit] >> 6] + np.bitwise_count(below).astype(np.int64)
+
+
 class PerfectHash:
     """Minimal perfect hash over distinct 64-bit keys: 0 to n - 1 for a key, anything or -1 for another."""
 
-    def __init__(self, words: list[np.ndarray], ranks: list[np.ndarray], sizes: list[int]):
-        self.words, self.ranks, self.sizes = words, ranks, sizes
+    def __init__(self, words: list[np.ndarray], sizes: list[int]):
+        self.words, self.sizes, self.ranks, before = words, sizes, [], 0
+        for w in words:
+            self.ranks.append((before + _before(w)).astype(np.uint32))
+            before += int(np.bitwise_count(w).sum())
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        words, ranks, sizes, before = [], [], [], 0
+        words, sizes = [], []
         while len(keys):
             size = max(64, int(GAMMA * len(keys)) + 63 & ~63)
             at = cls._place(keys, len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
-            w = np.packbits(alone, bitorder="little").view(np.uint64)
-            n = np.bitwise_count(w).astype(np.int64)
-            words.append(w)
-            ranks.append((before + np.cumsum(n) - n).astype(np.uint32))
+            words.append(np.packbits(alone, bitorder="little").view(np.uint64))
             sizes.append(size)
-            before += int(n.sum())
             keys = keys[~alone[at]]
-        return cls(words, ranks, sizes)
+        return cls(words, sizes)
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -63,46 +76,56 @@ class PerfectHash:
     def find(self, keys: np.ndarray) -> np.ndarray:
         out, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for level, (w, r, size) in enumerate(zip(self.words, self.ranks, self.sizes)):
-            at = self._place(keys[rest], level, size)
-            word, bit = w[at >> 6], (at & 63).astype(np.uint64)
-            hit = (word >> bit) & np.uint64(1) == 1
-            below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
-            out[rest[hit]] = r[at[hit] >> 6] + np.bitwise_count(below)
+            hit, rank = _look(w, r, self._place(keys[rest], level, size))
+            out[rest[hit]] = rank
             rest = rest[~hit]
         return out
 
 
 class Shard:
-    """A perfect hash with 32-bit fingerprints, counts and owners by index. find() gives the counts and owners of keys, 0 for others
-    (a key that isn't there passes for one that is with probability 2**-32)."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, owners: np.ndarray, hashed: PerfectHash | None = None):
-        self.hash = hashed or PerfectHash.build(keys)
-        if hashed is None:
-            at = self.hash.find(keys)
-            self.prints, self.counts, self.owners = np.empty(len(keys), np.uint32), np.empty(len(keys), np.uint32), np.empty(len(keys), np.uint64)
-            self.prints[at], self.counts[at], self.owners[at] = keys & np.uint64(0xFFFFFFFF), np.minimum(counts, 0xFFFFFFFF), owners
-        else:
-            self.prints, self.counts, self.owners = keys, counts, owners
+    """A perfect hash of distinct keys with a bit by index, whether the key is shared (by default all are); 32-bit fingerprints,
+    counts and owners of shared keys lie by rank. find() gives the counts and owners of shared keys, 0 for others (a key that isn't
+    there at all passes for a shared one with probability 2**-32)."""
+
+    _ARRAYS = ("words", "prints", "counts", "owners")
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, owners: np.ndarray, shared: np.ndarray | None = None):
+        shared = np.ones(len(keys), bool) if shared is None else shared
+        self.hash = PerfectHash.build(keys)
+        at = self.hash.find(keys)
+        bits = np.zeros(len(keys) + 63 & ~63, bool)
+        bits[at] = shared
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        self.ranks = _before(self.words).astype(np.uint32)
+        order = np.flatnonzero(shared)[np.argsort(at[shared])]
+        self.prints = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.counts, self.owners = np.minimum(counts[order], 0xFFFFFFFF).astype(np.uint32), owners[order].astype(np.uint64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.prints):
-            return np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint64)
+        counts, owners = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint64)
         at = self.hash.find(keys)
-        ok = (at >= 0) & (self.prints[at] == (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        return np.where(ok, self.counts[at], 0), np.where(ok, self.owners[at], np.uint64(0))
+        there = np.flatnonzero(at >= 0)
+        hit, rank = _look(self.words, self.ranks, at[there])
+        there = there[hit]
+        ok = self.prints[rank] == (keys[there] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        counts[there[ok]], owners[there[ok]] = self.counts[rank[ok]], self.owners[rank[ok]]
+        return counts, owners
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        levels = {f"{k}{i}": x for k, xs in (("w", self.hash.words), ("r", self.hash.ranks)) for i, x in enumerate(xs)}
-        np.savez(out, prints=self.prints, counts=self.counts, owners=self.owners, sizes=np.array(self.hash.sizes, np.int64), **levels)
+        levels = np.concatenate([np.zeros(0, np.uint64), *self.hash.words])
+        np.savez(out, levels=levels, sizes=np.array(self.hash.sizes, np.int64), **{k: getattr(self, k) for k in self._ARRAYS})
         return out.getvalue()
 
     @classmethod
     def parse(cls, data: bytes) -> Shard:
-        z = np.load(io.BytesIO(data))
-        n = len(z["sizes"])
-        return cls(z["prints"], z["counts"], z["owners"], PerfectHash([z[f"w{i}"] for i in range(n)], [z[f"r{i}"] for i in range(n)], z["sizes"].tolist()))
+        z, out = np.load(io.BytesIO(data)), cls.__new__(cls)
+        ends = np.cumsum(z["sizes"] // 64)
+        out.hash = PerfectHash(np.split(z["levels"], ends[:-1]) if len(ends) else [], z["sizes"].tolist())
+        for k in cls._ARRAYS:
+            setattr(out, k, z[k])
+        out.ranks = _before(out.words).astype(np.uint32)
+        return out
 
 
 def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +226,7 @@ def _build(folder: str):
         store.create_dir(path, recursive=True)
         for k in sorted(by):
             h, n, _, text, shared = _summed(*(np.concatenate(x) for x in zip(*map(opened, by.pop(k)))))
-            shard, own = Shard(h[shared], n[shared], text[shared]).dump(), f"{path}/{uuid.uuid4().hex}.part"
+            shard, own = Shard(h, n, text, shared).dump(), f"{path}/{uuid.uuid4().hex}.part"
             with store.open_output_stream(own) as f:
                 f.write(shard)
             store.move(own, f"{path}/{k}.shard")

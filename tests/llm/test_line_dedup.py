@@ -1,8 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from echofold.llm import line_dedup as L
+from echofold.llm.common import _BASE, _M1, _M2, _S
 
 
 def brute(rows):
@@ -64,3 +66,30 @@ def test_structured_lines_are_told_apart(spark):
     other = word.translate(str.maketrans("ab", "ba"))
     docs = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
     assert [r.text for r in L.line_dedup(docs).orderBy("doc_id").collect()] == [word, other]
+
+
+def test_lines_of_one_text_are_indexed(spark):
+    """Lines that would lie where a shared line lies, with its fingerprint, were only shared lines in the index, are not removed."""
+
+    def unmixed(h):
+        for factor in (_M2, _M1):
+            h = (h ^ (h >> _S)) * np.uint64(pow(int(factor), -1, 1 << 64))
+        return h ^ (h >> _S)
+
+    hashed = lambda *x: L.lines(pa.array(x))[0]
+    key = hashed("line two")
+    like = (np.arange(1 << 20, dtype=np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+    like = like[(L.PerfectHash.build(key).find(like) == 0) & (like != key)]
+    size = np.uint64(8 * int(_M2) & 0xFFFFFFFFFFFFFFFF)
+    spelt = unmixed(unmixed(unmixed(like) - size) - np.uint64(_BASE)).view(np.uint8).reshape(-1, 8)
+    spelt = [bytes(x).decode() for x in spelt[((spelt > 32) & (spelt < 127)).all(1)]]
+    assert spelt and set(hashed(*spelt)) <= set(like)
+    rows = [(1, "line two"), (2, "line two\nb"), *((3 + i, f"{x}\nc{i}") for i, x in enumerate(spelt))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(L.line_dedup(docs, shards=1)) == brute(rows)
+
+    keys = np.arange(1, 5001, dtype=np.uint64)
+    shared = keys % np.uint64(50) == 0
+    counts, owners = L.Shard.parse(L.Shard(keys, keys, keys + np.uint64(9), shared).dump()).find(keys)
+    assert (counts == np.where(shared, keys, 0)).all() and (owners == np.where(shared, keys + np.uint64(9), 0)).all()
+    assert not L.Shard(keys, keys, keys, keys == 0).find(keys)[0].any()
