@@ -10,7 +10,9 @@ the customers of the parent, which is seated next, and so on.
 
 Dishes are partitioned by context; contexts with more tokens than a part should have go to as many parts as they
 need, and their tables add up over these. Parts and the parent's buckets exchange, for the words that a part has,
-tables one way and predictive probabilities the other: nothing is held for all words in one place.
+tables one way and predictive probabilities the other: nothing is held for all words in one place. Each row of
+the exchange of tokens has about ROW_TOKENS of them for up to MOST_TOKENS / ROW_TOKENS parts, so that there rows grow
+with the input and not with its square; with more parts, rows have fewer.
 
 A text's tokens are scored by the probability of each one given all others (the one scored has left its table),
 averaged over the last sweeps; the perplexity is exp(-mean log probability).
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,12 @@ SLICE_BYTES = 1 << 20
 PART_BYTES = 12 << 20
 #: tokens of a part, about
 PART_TOKENS = PART_BYTES // 6
+#: tokens that a task gathers before it deals them out to the parts: so many for each part, within these bounds
+ROW_TOKENS, LEAST_TOKENS, MOST_TOKENS = 2048, 1 << 20, 1 << 22
+#: (document, part) pairs whose sums a task adds up, about
+GROUP_PAIRS = 500_000
+BATCH_BYTES = 4 << 20
+CHUNK = 1 << 14
 
 
 def stirling_ratios(d: float, most: int = STIRLING) -> np.ndarray:
@@ -64,6 +71,8 @@ def stirling_ratios(d: float, most: int = STIRLING) -> np.ndarray:
 def alone(c: np.ndarray, t: np.ndarray, ratios: np.ndarray, d: float) -> np.ndarray:
     """Chance that a random customer of each dish sits alone."""
     small = c < len(ratios)
+    if small.all():
+        return ratios.ravel().take(c * ratios.shape[1] + t)
     exact = ratios[np.where(small, c, 0), np.where(small, t, 0)]
     return np.where(small, exact, np.where(t > 1, np.minimum(1.0, d * t / np.maximum(c, 1)), 0.0))
 
@@ -87,18 +96,34 @@ def first_seating(c: np.ndarray, base: np.ndarray, start: np.ndarray, d: float,
 
 
 def reseat(c: np.ndarray, t: np.ndarray, base: np.ndarray, ratios: np.ndarray, d: float, random: np.random.Generator) -> None:
-    """A sweep, in place: each customer leaves and comes back about once. Up to STEPS customers of a dish move one by one."""
-    group = np.maximum(1, c // STEPS)
-    for step in range(min(STEPS, int(c.max(initial=0)))):
-        live = np.flatnonzero(c > max(step, 1))
-        if not len(live):
-            return
-        n, m, now = c[live], group[live], t[live]
-        away = np.where(m > 1, random.binomial(m, np.clip(alone(n, now, ratios, d), 0, 1)), random.random(len(live)) < alone(n, now, ratios, d))
-        left = np.maximum(now - away, np.where(m < n, 1, 0)) if (m > 1).any() else now - away
-        p = base[live] / (base[live] + np.maximum(n - m - d * left, 1e-12))
-        back = np.where(m > 1, random.binomial(m, p), random.random(len(live)) < p)
-        t[live] = np.clip(left + back, 1, n)
+    """A sweep, in place: each customer leaves and comes back about once. Up to STEPS customers of a dish move one by one.
+
+    Dishes with most customers come first, so that those which still move are a slice; others are put in that order.
+    """
+    if (c[1:] > c[:-1]).any():
+        order = np.argsort(-c, kind="stable")
+        some = t[order]
+        reseat(c[order], some, base[order], ratios, d, random)
+        t[order] = some
+        return
+    large = int(np.searchsorted(-c, -2 * STEPS, "right"))
+    if large:
+        n, weight, now = c[:large], base[:large], t[:large]
+        m = n // STEPS
+        for _ in range(STEPS):
+            left = np.maximum(now - random.binomial(m, np.clip(alone(n, now, ratios, d), 0, 1)), 1)
+            p = weight / (weight + np.maximum(n - m - d * left, 1e-12))
+            now[:] = np.clip(left + random.binomial(m, p), 1, n)
+    for begin in range(large, len(c), CHUNK):  # a chunk stays in the processor's cache
+        n = c[begin : begin + CHUNK]
+        for step in range(min(STEPS, int(n[0]))):
+            live = int(np.searchsorted(-n, -max(step, 1), "left"))
+            if not live:
+                break
+            of, weight, now = n[:live], base[begin : begin + live], t[begin : begin + live]
+            left = now - (random.random(live, np.float32) < alone(of, now, ratios, d))
+            p = weight / (weight + np.maximum(of - 1 - d * left, 1e-12))
+            now[:] = np.clip(left + (random.random(live) < p), 1, of)
 
 
 # ---------------------------------------------------------------------------------- tokens by context
@@ -122,11 +147,17 @@ class Hot:
         return here, at[here]
 
 
-def _part(u: np.ndarray, w: np.ndarray, parts: int, hot: Hot) -> np.ndarray:
-    out = mix(u.astype(np.uint64)) % np.uint64(parts)
-    here, which = hot.find(u)
-    spread = np.minimum(hot.spread, parts).astype(np.uint64)[which]
-    out[here] = (out[here] + mix(w[here].astype(np.uint64)) % spread * (np.uint64(parts) // spread)) % np.uint64(parts)
+def _part(names: np.ndarray, context: np.ndarray, at: np.ndarray, parts: int, hot: Hot) -> np.ndarray:
+    """The part of each token; its context and word are places in names."""
+    mixed, parts = mix(names.astype(np.uint64)), np.uint64(parts)
+    out = (mixed % parts)[context]
+    hot_names, which = hot.find(names)
+    if len(which):
+        hot_of = np.full(len(names), -1)
+        hot_of[hot_names] = which
+        here = np.flatnonzero(hot_of[context] >= 0)
+        spread = np.minimum(hot.spread, int(parts)).astype(np.uint64)[hot_of[context[here]]]
+        out[here] = (out[here] + mixed[at[here]] % spread * (parts // spread)) % parts
     return out.astype(np.int64)
 
 
@@ -141,11 +172,76 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, w, words.doc
 
 
+def _bits(x: np.ndarray) -> int:
+    return int(x.max(initial=0)).bit_length() if int(x.min(initial=0)) >= 0 else 64
+
+
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place there of each; value and place in one number, where that has room."""
+    low = len(x).bit_length()
+    if _bits(x) + low > 63:
+        found, rank = np.unique(x, return_inverse=True)
+        return found, rank.astype(np.int32)
+    key = x.astype(np.int64) << low
+    key |= np.arange(len(x))
+    key.sort()
+    at = key & ((1 << low) - 1)
+    key >>= low
+    new = _changes(key)
+    rank = np.empty(len(x), np.int32)
+    rank[at] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return key[new], rank
+
+
+def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
+    """The columns' rows in order; of numbers not below 0 all in one number, where that has room."""
+    widths = [_bits(x) for x in columns]
+    if sum(widths) > 63:
+        order = np.lexsort(columns[::-1])
+        return [x[order] for x in columns]
+    key = columns[0].astype(np.int64)
+    for x, width in zip(columns[1:], widths[1:]):
+        key <<= width
+        key |= x
+    key.sort()
+    out = []
+    for width in widths[:0:-1]:
+        out.append((key & ((1 << width) - 1)).astype(np.int32 if width < 32 else np.int64))
+        key >>= width
+    return [key, *out[::-1]]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _summed_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    key, inverse = _ranks(np.concatenate([k for k, _ in held]))
     return key, np.bincount(inverse, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
 
 
+def _batched(rows: Iterator[tuple], fields: dict[str, pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes."""
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held), fields.values())], list(fields))
+
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _survey(buckets: int, most: int = 1_000_000):
     """Tokens by context, summed in the task, by bucket of the contexts."""
 
@@ -154,25 +250,24 @@ def _survey(buckets: int, most: int = 1_000_000):
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edge)):
             s = slice(edge[k], edge[k + 1])
-            packed = np.array([len(key[s])], "<i4").tobytes() + _pack((np.diff(key[s], prepend=0), "<i8"), (n[s], "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "packed"])
+            yield int(k), _pack((np.diff(key[s], prepend=0), "<i8"), (n[s], "<i8"))
 
-    def run(batches):
-        held, rows = [], 0
+    def rows(batches):
+        held, size = [], 0
         for b in batches:
             for i, j in text_slices(b.column(0)):
                 key, n = np.unique(tokens(b.column(0).slice(i, j - i))[0], return_counts=True)
                 held.append((key, n))
-                rows += len(key)
-                if rows > most:
+                size += len(key)
+                if size > most:
                     held = [_summed_counts(held)]
                     if len(held[0][0]) > most // 2:
                         yield from out(*held.pop())
-                    rows = sum(len(k) for k, _ in held)
+                    size = sum(len(k) for k, _ in held)
         if held:
             yield from out(*_summed_counts(held))
 
-    return run
+    return lambda batches: _batched(rows(batches), {"bucket": pa.int32(), "packed": pa.binary()}, BATCH_BYTES)
 
 
 def _frequent(limit: int):
@@ -180,7 +275,7 @@ def _frequent(limit: int):
         by: dict[int, list] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, n = _unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8", "<i8")
+                key, n = _unpack(x, "<i8", "<i8")
                 by.setdefault(k, []).append((np.cumsum(key), n))
         for held in by.values():
             key, n = _summed_counts(held)
@@ -192,149 +287,193 @@ def _frequent(limit: int):
 def hot_contexts(texts: DataFrame, limit: int) -> Hot:
     """Contexts of over limit tokens, counted over all texts; there can't be more of them than parts."""
     buckets = max(12, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = texts.select("text").mapInArrow(_survey(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    counted = texts.select("text").mapInArrow(_survey(buckets), "bucket int, packed binary").repartitionById(buckets, "bucket")
     rows = sorted(map(tuple, counted.mapInArrow(_frequent(limit), "u long, n long").collect()))
     return Hot(np.array([u for u, _ in rows], np.int64), np.array([-(-n // limit) for _, n in rows], np.int64))
 
 
 def _pack(*columns: tuple[np.ndarray, str]) -> bytes:
-    """Byte planes of each column, compressed."""
-    return zlib.compress(b"".join(x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in columns), 1)
-
-
-def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(data), 0, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel())
+    """Columns of one length as planes of their bytes, as many as the largest number has, compressed."""
+    sizes, planes = [], []
+    for x, kind in columns:
+        x = np.ascontiguousarray(x, kind)
+        bits = _bits(x) if x.dtype.kind in "iu" else 64
+        sizes.append(min(x.dtype.itemsize, max(1, -(-bits // 8))))
+        planes.append(x.view(np.uint8).reshape(len(x), -1)[:, : sizes[-1]].T.tobytes() if len(x) else b"")
+    return np.array([len(columns[0][0]), *sizes], "<i8").tobytes() + pa.Codec("zstd", 1).compress(b"".join(planes), asbytes=True)
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    head = 8 * (1 + len(kinds))
+    n, *sizes = np.frombuffer(data, "<i8", head // 8).tolist()
+    if not n:
+        return [np.zeros(0, kind) for kind in kinds]
+    planes, at, out = pa.Codec("zstd").decompress(memoryview(data)[head:], decompressed_size=n * sum(sizes)), 0, []
+    for kind, size in zip(kinds, sizes):
+        x = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        x[:, :size] = np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T
+        out.append(x.view(kind).ravel())
         at += n * size
     return out
 
 
-def _spread(parts: int, hot: Hot):
-    """The tokens of each slice by part: docs of the slice, and (context step, word, text) sorted by context and word."""
+def _join(*packed: bytes) -> bytes:
+    return b"".join([np.array([len(x) for x in packed], "<i8").tobytes(), *packed])
+
+
+def _split(data: bytes, pieces: int) -> Iterator[bytes]:
+    at = 8 * pieces
+    for size in np.frombuffer(data, "<i8", pieces).tolist():
+        yield data[at : at + size]
+        at += size
+
+
+def _distinct(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place there of each; values are below most."""
+    if most > 4 * len(x):
+        return _ranks(x)
+    there = np.zeros(most, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _dealt(held: list[tuple], parts: int, hot: Hot) -> Iterator[tuple[int, bytes]]:
+    """Tokens by part: the documents there; contexts and their tokens; (word, document) by context, word and document."""
+    count = [len(ids) for *_, ids in held]
+    doc = np.concatenate([doc + before for (_, _, doc, _), before in zip(held, np.cumsum([0, *count]))])
+    w, begins, _, ids = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    word, at = _ranks(w)
+    names, at = np.concatenate([[0], word]), at + 1
+    context = np.concatenate([np.zeros(1, np.int32), at[:-1]])
+    context[begins] = 0
+    part, context, at, doc = _sorted(_part(names, context, at, parts, hot), context, at, doc)
+    runs = np.flatnonzero(_changes(part, context))
+    names_of, size, w = names[context[runs]], np.diff(np.append(runs, len(part))), names[at]
+    edge = np.append(np.flatnonzero(_changes(part)), len(part))
+    run_edge = np.searchsorted(runs, edge)
+    for k, a, z, first, last in zip(part[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist()):
+        there, local = _distinct(doc[a:z], len(ids))
+        yield k, _join(_pack((np.diff(ids[there], prepend=0), "<i8")), _pack((np.diff(names_of[first:last], prepend=0), "<i8"), (size[first:last], "<u4")), _pack((w[a:z], "<i8"), (local, "<u4")))
+
+
+def _spread(parts: int, hot: Hot, most: int = 1):
+    """The tokens by part, in batches of about so many bytes."""
+
+    def rows(batches):
+        held, size, limit = [], 0, min(MOST_TOKENS, max(LEAST_TOKENS, ROW_TOKENS * parts))
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in text_slices(b.column(1), SLICE_BYTES):
                 u, w, doc = tokens(b.column(1).slice(i, j - i))
-                part = _part(u, w, parts, hot)
-                order = np.lexsort((w, u, part))
-                u, w, doc, part = u[order], w[order], doc[order], part[order]
-                edge = np.searchsorted(part, np.arange(parts + 1))
-                for k in np.flatnonzero(np.diff(edge)):
-                    s = slice(edge[k], edge[k + 1])
-                    there, local = np.unique(doc[s], return_inverse=True)
-                    n = len(local)
-                    head = np.array([n, len(there)], "<i4").tobytes() + ids[i + there].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([head + _pack((np.diff(u[s], prepend=0), "<i8"), (w[s], "<i8"), (local, "<u4"))], pa.binary())], ["part", "packed"])
+                held.append((w, u == 0, doc.astype(np.int32), ids[i:j]))
+                size += len(w)
+                if size >= limit:
+                    yield from _dealt(held, parts, hot)
+                    size = 0
+        if size:
+            yield from _dealt(held, parts, hot)
 
-    return run
-
-
-def _open(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(x, "<i4", 2)
-    ids = np.frombuffer(x, "<i8", m, 8)
-    du, w, local = _unpack(x[8 + 8 * m :], n, "<i8", "<i8", "<u4")
-    return np.cumsum(du), w, ids[local]
+    return lambda batches: _batched(rows(batches), {"part": pa.int32(), "packed": pa.binary()}, most)
 
 
 @dataclass
 class Part:
-    """Dishes (context, word, customers) sorted, and the tokens' dish and document."""
+    """Contexts and words, sorted; dishes (their context, word and customers) sorted, and the tokens' dish and document."""
 
-    u: np.ndarray
-    w: np.ndarray
+    context: np.ndarray
+    ctx: np.ndarray
+    word: np.ndarray
+    at: np.ndarray
     c: np.ndarray
     dish: np.ndarray
     doc: np.ndarray
     ids: np.ndarray
 
+    @property
+    def u(self) -> np.ndarray:
+        return self.context[self.ctx]
+
+    @property
+    def w(self) -> np.ndarray:
+        return self.word[self.at]
+
     @classmethod
     def of(cls, blobs: list[bytes]) -> Part:
-        u, w, doc = [], [], []
+        ids, context, size, w, doc, before = [], [], [], [], [], 0
         while blobs:  # arrays of a part are large: none is held longer or wider than it must be
-            for held, x in zip((u, w, doc), _open(blobs.pop())):
-                held.append(x)
-        doc = np.concatenate(doc)
-        ids = np.unique(doc)
-        doc = np.searchsorted(ids, doc).astype(np.int32)
-        u, w = np.concatenate(u), np.concatenate(w)
-        order = np.lexsort((doc, w, u)).astype(np.int32)
-        u = u[order]
-        w = w[order]
-        doc = doc[order]
-        del order
-        new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            a, b, c = _split(blobs.pop(), 3)
+            ids.append(np.cumsum(_unpack(a, "<i8")[0]))
+            u, n = _unpack(b, "<i8", "<u4")
+            context.append(np.cumsum(u)), size.append(n)
+            x, local = _unpack(c, "<i8", "<i4")
+            w.append(x), doc.append(local + np.int32(before))
+            before += len(ids[-1])
+        ids, rank = _ranks(np.concatenate(ids))
+        doc = rank[np.concatenate(doc)]
+        context, rank = _ranks(np.concatenate(context))
+        of = np.repeat(rank, np.concatenate(size))
+        w = np.concatenate(w)
+        word, at = _ranks(w)
+        del w, rank
+        of, at, doc = _sorted(of, at, doc)
+        new = _changes(of, at)
         first = np.flatnonzero(new)
-        return cls(u[first], w[first], np.diff(np.append(first, len(u))), np.cumsum(new, dtype=np.int32) - np.int32(1), doc, ids)
+        return cls(context, of[first].astype(np.int32), word, at[first], np.diff(np.append(first, len(doc))), np.cumsum(new, dtype=np.int32) - np.int32(1), doc, ids)
 
     def dump(self) -> bytes:
-        head = np.array([len(self.c), len(self.doc), len(self.ids)], "<i8").tobytes()
-        a = _pack((np.diff(self.u, prepend=0), "<i8"), (self.w, "<i8"), (self.c, "<i4"))
-        b = _pack((self.doc, "<i4"))
-        return head + np.array([len(a), len(b)], "<i8").tobytes() + a + b + _pack((np.diff(self.ids, prepend=0), "<i8"))
+        own = _pack((np.diff(self.context, prepend=0), "<i8"), (np.bincount(self.ctx), "<u4"))
+        return _join(own, _pack((np.diff(self.word, prepend=0), "<i8")), _pack((self.at, "<i4"), (self.c, "<i8")), _pack((self.doc, "<i4")), _pack((np.diff(self.ids, prepend=0), "<i8")))
 
     @classmethod
     def parse(cls, x: bytes) -> Part:
-        n, m, k, a, b = np.frombuffer(x, "<i8", 5)
-        u, w, c = _unpack(x[40 : 40 + a], n, "<i8", "<i8", "<i4")
-        c = c.astype(np.int64)
-        (doc,) = _unpack(x[40 + a : 40 + a + b], m, "<i4")
-        (ids,) = _unpack(x[40 + a + b :], k, "<i8")
-        return cls(np.cumsum(u), w, c, np.repeat(np.arange(n, dtype=np.int32), c), doc, np.cumsum(ids))
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The part's words, sorted, and the word of each dish."""
-        return np.unique(self.w, return_inverse=True)
+        own, word, dishes, doc, ids = _split(x, 5)
+        context, n = _unpack(own, "<i8", "<u4")
+        at, c = _unpack(dishes, "<i4", "<i8")
+        of, dish = np.repeat(np.arange(len(context), dtype=np.int32), n), np.repeat(np.arange(len(c), dtype=np.int32), c)
+        return cls(np.cumsum(context), of, np.cumsum(_unpack(word, "<i8")[0]), at, c, dish, _unpack(doc, "<i4")[0], np.cumsum(_unpack(ids, "<i8")[0]))
 
 
 _STATE = "part int, kind string, bucket int, packed binary, u array<long>, n array<long>"
 
 
-def _row(part: int, kind: str, bucket: int = 0, packed: bytes | None = None, u=(), n=()) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, kind, bucket, packed, list(u), list(n)), kinds)], ["part", "kind", "bucket", "packed", "u", "n"])
+_FIELDS = {"part": pa.int32(), "kind": pa.string(), "bucket": pa.int32(), "packed": pa.binary(), "u": pa.list_(pa.int64()), "n": pa.list_(pa.int64())}
 
 
-def _asked(part: int, p: Part, t: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _asked(part: int, p: Part, t: np.ndarray, buckets: int) -> Iterator[tuple]:
     """What a part asks of the parent: its words by bucket of the words, with the tables it has of each."""
-    words, at = p.words()
-    tables = np.bincount(at, t, len(words)).astype(np.int64)
-    edge = np.searchsorted(words * buckets >> TYPE_BITS, np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(edge)):
+    tables = np.bincount(p.at, t, len(p.word)).astype(np.int64)
+    edge = np.searchsorted(p.word * buckets >> TYPE_BITS, np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(edge)).tolist():
         s = slice(edge[k], edge[k + 1])
-        packed = np.array([len(words[s])], "<i4").tobytes() + _pack((np.diff(words[s], prepend=0), "<i8"), (tables[s], "<i4"))
-        yield _row(part, "asked", int(k), packed)
+        yield part, "asked", k, _pack((np.diff(p.word[s], prepend=0), "<i8"), (tables[s], "<i8")), [], []
 
 
-def _shared(part: int, p: Part, t: np.ndarray, hot: Hot) -> Iterator[pa.RecordBatch]:
+def _shared(part: int, p: Part, t: np.ndarray, hot: Hot) -> Iterator[tuple]:
     """Customers and tables of the part's hot contexts."""
-    here, which = hot.find(p.u)
+    here, which = hot.find(p.context)
     if len(here):
-        at, inverse = np.unique(which, return_inverse=True)
-        yield _row(part, "customers", u=at.tolist(), n=np.bincount(inverse, p.c[here]).astype(np.int64).tolist())
-        yield _row(part, "opened", u=at.tolist(), n=np.bincount(inverse, t[here]).astype(np.int64).tolist())
+        for kind, n in (("customers", p.c), ("opened", t)):
+            yield part, kind, 0, None, which.tolist(), np.bincount(p.ctx, n, len(p.context))[here].astype(np.int64).tolist()
 
 
 def _gather(hot: Hot, buckets: int):
     """After the shuffle: the parts as self-contained rows, and what starts the model (one table for each dish)."""
 
-    def run(batches):
+    def rows(batches):
         by: dict[int, list[bytes]] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(k, []).append(x)
         for k in sorted(by):
             p = Part.of(by.pop(k))
-            yield _row(k, "part", packed=p.dump())
+            yield k, "part", 0, p.dump(), [], []
             one = np.ones(len(p.c), np.int64)
             yield from _shared(k, p, one, hot)
             yield from _asked(k, p, one, buckets)
-            yield _row(k, "counts", n=[len(p.c), int((p.c == 1).sum()), int((p.c == 2).sum())])
+            yield k, "counts", 0, None, [], [len(p.c), int((p.c == 1).sum()), int((p.c == 2).sum()), len(p.ids)]
 
-    return run
+    return lambda batches: _batched(rows(batches), _FIELDS, BATCH_BYTES)
 
 
 def _hot_sums(rows: DataFrame, kind: str, size: int) -> np.ndarray:
@@ -348,39 +487,42 @@ def _hot_sums(rows: DataFrame, kind: str, size: int) -> np.ndarray:
 
 def seat_parent(c: np.ndarray, base: float, d: float, ratios: np.ndarray, random: np.random.Generator, rounds: int = BURN_IN) -> np.ndarray:
     """Mean tables of the unigram restaurant's dishes, whose customers are the contexts' tables, over as many sweeps as went before."""
-    t = np.ones(len(c), np.int64)
-    weight = np.full(len(c), base)
-    t = first_seating(c, weight, t, d, random)
+    order = np.argsort(-c, kind="stable")
+    c, weight = c[order], np.full(len(c), base)
+    t = first_seating(c, weight, np.ones(len(c), np.int64), d, random)
     mean = np.zeros(len(c))
     for r in range(2 * rounds):
         reseat(c, t, weight, ratios, d, random)
         if r >= rounds:
-            mean += t / rounds
+            mean[order] += t / rounds
     return mean
 
 
 def _seated(base: float, d: float, table, seed: int, rounds: int):
     """The parent's dishes of each bucket are seated; to each part goes c - d t of the words it asked for, in their order."""
 
-    def run(batches):
+    def rows(batches):
         by: dict[int, list[tuple[int, bytes]]] = {}
         for b in batches:
             for part, bucket, x in zip(*(b.column(i).to_pylist() for i in range(3))):
                 by.setdefault(bucket, []).append((part, x))
         for bucket in sorted(by):
             asked = sorted(by.pop(bucket))
-            opened = []
-            for part, x in asked:
-                du, n = _unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8", "<i4")
-                opened.append((np.cumsum(du), n))
-            key, c = _summed_counts(opened)
+            words, opened = [], []
+            for _, x in asked:
+                du, n = _unpack(x, "<i8", "<i8")
+                words.append(np.cumsum(du)), opened.append(n)
+            edge = np.cumsum([0, *map(len, words)])
+            key, inverse = _ranks(np.concatenate(words))
+            c = np.bincount(inverse, np.concatenate(opened), len(key)).astype(np.int64)
             t = seat_parent(c, base, d, table.value, np.random.default_rng([SEED, 1, seed, bucket]), rounds)
             rest = (c - d * t).astype(np.float32)
-            for (part, _), (words, _) in zip(asked, opened):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bucket], pa.int32()), pa.array([zlib.compress(rest[np.searchsorted(key, words)].tobytes(), 1)], pa.binary()), pa.array([0.0]), pa.array([0.0]), pa.array([0])], ["part", "bucket", "packed", "customers", "tables", "words"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([float(c.sum())]), pa.array([float(t.sum())]), pa.array([len(c)])], ["part", "bucket", "packed", "customers", "tables", "words"])
+            for (part, _), a, z in zip(asked, edge, edge[1:]):
+                yield part, bucket, _pack((rest[inverse[a:z]], "<f4")), 0.0, 0.0, 0
+            yield -1, bucket, b"", float(c.sum()), float(t.sum()), len(c)
 
-    return run
+    fields = {"part": pa.int32(), "bucket": pa.int32(), "packed": pa.binary(), "customers": pa.float64(), "tables": pa.float64(), "words": pa.int64()}
+    return lambda batches: _batched(rows(batches), fields, BATCH_BYTES)
 
 
 _SEATED = "part int, bucket int, packed binary, customers double, tables double, words long"
@@ -398,7 +540,7 @@ def _answers(folder: str):
                 by.setdefault(part, []).append((bucket, x))
         for part, found in by.items():
             own = f"{path}/{uuid.uuid4().hex}.tmp"
-            values = b"".join(zlib.decompress(x) for _, x in sorted(found))
+            values = b"".join(_unpack(x, "<f4")[0].tobytes() for _, x in sorted(found))
             with store.open_output_stream(own) as f:
                 f.write(values)
             store.move(own, f"{path}/{part}.answers")
@@ -423,46 +565,52 @@ class Parents:
         store, path = fs.FileSystem.from_uri(self.folder)
         with store.open_input_stream(f"{path}/{part}.answers") as f:
             rest = np.frombuffer(f.read(), "<f4").astype(np.float64)
-        return ((rest + self.fresh) / self.total)[p.words()[1]]
+        return ((rest + self.fresh) / self.total)[p.at]
 
 
-def _sizes(p: Part, parents: Parents, inverse: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sizes(p: Part, parents: Parents) -> tuple[np.ndarray, np.ndarray]:
     """By context of the part: customers everywhere, and tables in other parts as of the last pass."""
-    customers, others = np.bincount(inverse, p.c, len(context)), np.zeros(len(context))
-    here, which = parents.hot.find(context)
-    own = np.bincount(inverse, minlength=len(context))
+    customers, others = np.bincount(p.ctx, p.c, len(p.context)), np.zeros(len(p.context))
+    here, which = parents.hot.find(p.context)
+    own = np.bincount(p.ctx, minlength=len(p.context))
     customers[here] = parents.hot.customers[which]
     others[here] = np.maximum(parents.hot.opened[which] - own[here], 0)
     return customers, others
 
 
+def _repeated(p: Part) -> np.ndarray:
+    """The dishes of more than one customer, most customers first."""
+    many = np.flatnonzero(p.c > 1)
+    return many[np.argsort(-p.c[many], kind="stable")]
+
+
 def _seatings(p: Part, p0: np.ndarray, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tables by dish, tables by dish's context) after each sampled sweep, given the parent."""
+    """(tables by dish of _repeated, tables by context) after each sampled sweep, given the parent. Other dishes have one table."""
     random = np.random.default_rng([SEED, 2, seed])
-    d, theta = parents.discount, parents.theta
-    context, inverse = np.unique(p.u, return_inverse=True)
-    _, others = _sizes(p, parents, inverse, context)
-    weight = lambda t: (theta + d * (others + np.bincount(inverse, t, len(context)))[inverse]) * p0
-    t = np.ones(len(p.c), np.int64)
-    t = first_seating(p.c, weight(t), t, d, random)
-    many = np.flatnonzero(p.c > 1)
+    d, theta, many = parents.discount, parents.theta, _repeated(p)
+    c, of, prior = p.c[many], p.ctx[many], p0[many]
+    rest = _sizes(p, parents)[1] + np.bincount(p.ctx, p.c == 1, len(p.context))
+    tables = lambda t: rest + np.bincount(of, t, len(rest))
+    t = np.ones(len(c), np.int64)
+    t = first_seating(c, (theta + d * tables(t)[of]) * prior, t, d, random)
     for r in range(burn_in + samples):
-        base, some = weight(t), t[many]
-        reseat(p.c[many], some, base[many], ratios, d, random)
-        t[many] = some
+        reseat(c, t, (theta + d * tables(t)[of]) * prior, ratios, d, random)
         if r >= burn_in:
-            yield t.copy(), (others + np.bincount(inverse, t, len(context)))[inverse]
+            yield t.copy(), tables(t)
 
 
 def token_probabilities(p: Part, p0: np.ndarray, parents: Parents, ratios: np.ndarray, seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> np.ndarray:
     """By dish, the probability of one of its tokens given all other tokens, averaged over the sampled seatings."""
-    d, theta, out = parents.discount, parents.theta, np.zeros(len(p.c))
-    context, inverse = np.unique(p.u, return_inverse=True)
-    n = _sizes(p, parents, inverse, context)[0].astype(np.float64)[inverse]
+    d, theta, many = parents.discount, parents.theta, _repeated(p)
+    c, of, prior = p.c[many], p.ctx[many], p0[many]
+    some, mean = np.zeros(len(c)), np.zeros(len(p.context))
     for t, opened in _seatings(p, p0, parents, ratios, seed, burn_in, samples):
-        gone = np.where(p.c == 1, 1.0, alone(p.c, t, ratios, d))
-        out += (np.maximum(p.c - 1 - d * (t - gone), 0.0) + (theta + d * (opened - gone)) * p0) / (theta + n - 1)
-    return out / samples
+        gone = alone(c, t, ratios, d)
+        some += (np.maximum(c - 1 - d * (t - gone), 0.0) + (theta + d * (opened[of] - gone)) * prior) / samples
+        mean += opened / samples
+    out = (theta + d * (mean - 1))[p.ctx] * p0  # an only customer leaves with its table
+    out[many] = some
+    return out / (theta + _sizes(p, parents)[0] - 1)[p.ctx]
 
 
 def _parts_of(batches) -> Iterator[tuple[int, Part]]:
@@ -489,9 +637,9 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
     parts = max(12, math.ceil(size / PART_BYTES))
     buckets = max(12, parts // 4)
     hot = hot_contexts(texts, PART_TOKENS)
-    spread = texts.mapInArrow(_spread(parts, hot), "part int, packed binary").repartition(parts, "part")
+    spread = texts.mapInArrow(_spread(parts, hot, BATCH_BYTES), "part int, packed binary").repartitionById(parts, "part")
     state = scratch.table(spread.mapInArrow(_gather(hot, buckets), _STATE), "parts")
-    counts = state.where("kind = 'counts'").agg(*[F.sum(F.col("n")[k]) for k in range(3)]).first()
+    counts = state.where("kind = 'counts'").agg(*[F.sum(F.col("n")[k]) for k in range(4)]).first()
     d = float(np.clip((counts[1] or 0) / max(1, (counts[1] or 0) + 2 * (counts[2] or 0)), 0.1, 0.95))
     ratios = stirling_ratios(d)
     table = spark.sparkContext.broadcast(ratios)
@@ -502,19 +650,19 @@ def lm_scores(docs: DataFrame, passes: int = PASSES, burn_in: int = BURN_IN, sam
         if words is None:  # of one table for each word
             words = tables = max(1.0, float(_distinct_words(asked, buckets)))
         fresh = (CONCENTRATION + d * tables) / words
-        seated = scratch.table(asked.repartition(buckets, "bucket").mapInArrow(_seated(fresh, d, table, k, burn_in), _SEATED), "seated")
+        seated = scratch.table(asked.repartitionById(buckets, "bucket").mapInArrow(_seated(fresh, d, table, k, burn_in), _SEATED), "seated")
         sums = seated.where("part < 0").agg(F.sum("customers"), F.sum("tables")).first()
         customers, tables = (float(x or 0) for x in sums)
         folder = scratch.path("answers")
         folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-        seated.where("part >= 0").select("part", "bucket", "packed").repartition(parts, "part").mapInArrow(_answers(folder), "part int").write.format("noop").mode("overwrite").save()
+        seated.where("part >= 0").select("part", "bucket", "packed").repartitionById(parts, "part").mapInArrow(_answers(folder), "part int").write.format("noop").mode("overwrite").save()
         parents = Parents(folder, (CONCENTRATION + d * tables) / words, CONCENTRATION + customers, hot, d, CONCENTRATION)
         if k + 1 == passes:
             break
         found = scratch.table(rows.mapInArrow(_one_pass(parents, table, k, burn_in, buckets), _STATE), "pass")
         hot = Hot(hot.u, hot.spread, hot.customers, _hot_sums(found, "opened", len(hot.u)))
-    groups = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 2)
-    scored = rows.mapInArrow(_score(parents, table, passes, burn_in, samples, groups), "g int, packed binary").repartition(groups, "g")
+    groups = max(12, math.ceil((counts[3] or 0) / GROUP_PAIRS))
+    scored = rows.mapInArrow(_score(parents, table, passes, burn_in, samples, groups), "g int, packed binary").repartitionById(groups, "g")
     sums = scored.mapInArrow(_summed, "doc_id long, n long, lp double")
     every = base.select(F.coalesce("doc_id", F.lit(none)).alias("doc_id")).distinct()
     joined = every.join(sums, "doc_id", "left")
@@ -529,38 +677,39 @@ def _distinct_words(asked: DataFrame, buckets: int) -> int:
         by: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(bucket, []).append(np.cumsum(_unpack(x[4:], int(np.frombuffer(x, "<i4", 1)[0]), "<i8")[0]))
+                by.setdefault(bucket, []).append(np.cumsum(_unpack(x, "<i8", "<i8")[0]))
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(np.unique(np.concatenate(x))) for x in by.values())])], ["n"])
 
-    return asked.select("bucket", "packed").repartition(buckets, "bucket").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return asked.select("bucket", "packed").repartitionById(buckets, "bucket").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _one_pass(parents: Parents, table, seed: int, burn_in: int, buckets: int):
-    def run(batches):
+    def rows(batches):
         for k, p in _parts_of(batches):
+            tables = np.ones(len(p.c), np.int64)
             for t, _ in _seatings(p, parents.predictive(k, p), parents, table.value, (seed << 32) + k, burn_in, 1):
-                yield from _shared(k, p, t, parents.hot)
-                yield from _asked(k, p, t, buckets)
+                tables[_repeated(p)] = t
+                yield from _shared(k, p, tables, parents.hot)
+                yield from _asked(k, p, tables, buckets)
 
-    return run
+    return lambda batches: _batched(rows(batches), _FIELDS, BATCH_BYTES)
 
 
 def _score(parents: Parents, table, seed: int, burn_in: int, samples: int, out: int):
     """Tokens and log probability of each part's documents, packed by the group of documents that sums them."""
 
-    def run(batches):
+    def rows(batches):
         for k, p in _parts_of(batches):
             lp = np.log(token_probabilities(p, parents.predictive(k, p), parents, table.value, (seed << 32) + k, burn_in, samples))[p.dish]
             n, total = np.bincount(p.doc, minlength=len(p.ids)), np.bincount(p.doc, lp, len(p.ids))
             group = (mix(p.ids.astype(np.uint64)) % np.uint64(out)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             edge = np.searchsorted(group[order], np.arange(out + 1))
-            for g in np.flatnonzero(np.diff(edge)):
+            for g in np.flatnonzero(np.diff(edge)).tolist():
                 o = order[edge[g] : edge[g + 1]]
-                packed = np.array([len(o)], "<i4").tobytes() + _pack((np.diff(p.ids[o], prepend=0), "<i8"), (n[o], "<i4")) + total[o].astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([packed], pa.binary())], ["g", "packed"])
+                yield g, _pack((np.diff(p.ids[o], prepend=0), "<i8"), (n[o], "<i8"), (total[o], "<f4"))
 
-    return run
+    return lambda batches: _batched(rows(batches), {"g": pa.int32(), "packed": pa.binary()}, BATCH_BYTES)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,9 +720,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for g in sorted(by):
         ids, n, total = [], [], []
         for x in by.pop(g):
-            m = int(np.frombuffer(x, "<i4", 1)[0])
-            di, k = _unpack(x[4 : len(x) - 4 * m], m, "<i8", "<i4")
-            ids.append(np.cumsum(di)), n.append(k), total.append(np.frombuffer(x, "<f4", m, len(x) - 4 * m))
+            di, k, lp = _unpack(x, "<i8", "<i8", "<f4")
+            ids.append(np.cumsum(di)), n.append(k), total.append(lp)
         own, inverse = np.unique(np.concatenate(ids), return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inverse, np.concatenate(n)).astype(np.int64)), pa.array(np.bincount(inverse, np.concatenate(total)))], ["doc_id", "n", "lp"])
 

@@ -94,6 +94,56 @@ def test_parts_survive_packing():
     assert sorted(seen) == sorted(want) and (u[[0, 6, 9]] == 0).all()
 
 
+def spread(batches, parts, hot):
+    return [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in P._spread(parts, hot)(iter(batches))]
+
+
+def test_rows_of_the_exchange_grow_with_the_input_not_its_square(monkeypatch):
+    """A task of many slices gives each part one row, not one for each slice; smaller gatherings give the same tokens."""
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in random.zipf(1.3, 200) % 500) for _ in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array(texts[i : i + 50])], ["doc_id", "text"]) for i in (0, 50, 100)]
+    monkeypatch.setattr(P, "SLICE_BYTES", 2000)
+    u = np.sort(P.tokens(pa.array(texts))[0])
+    common = np.unique(u[np.searchsorted(u, u, "right") - np.searchsorted(u, u) > 1000])
+    hot = P.Hot(common, np.full(len(common), 7))
+    assert len(common)
+    whole = spread(batches, 40, hot)
+    assert len(whole) == len({k for k, _ in whole}) <= 40
+    monkeypatch.setattr(P, "LEAST_TOKENS", 1000)
+    monkeypatch.setattr(P, "ROW_TOKENS", 20)
+    pieces = spread(batches, 40, hot)
+    assert len(pieces) > 2 * len(whole)
+    for k in {k for k, _ in whole}:
+        a, b = (P.Part.of([x for part, x in rows if part == k]) for rows in (whole, pieces))
+        for x in ("u", "w", "c", "dish", "doc", "ids"):
+            assert (getattr(a, x) == getattr(b, x)).all()
+
+
+def test_wide_columns_sort_and_survive_packing():
+    random = np.random.default_rng(6)
+    for most in ((3, 5, 7), (1 << 30, 1 << 20, 1 << 30), (10, 1 << 40, 9)):
+        columns = [random.integers(0, n, 2000) for n in most]
+        order = np.lexsort(columns[::-1])
+        assert all((a == b[order]).all() for a, b in zip(P._sorted(*columns), columns))
+    for x in (random.integers(-(1 << 63), (1 << 63) - 1, 2000), random.integers(0, 50, 2000), np.zeros(0, np.int64)):
+        found, rank = P._ranks(x)
+        assert (found == np.unique(x)).all() and (found[rank] == x).all()
+        assert (P._unpack(P._pack((x, "<i8")), "<i8")[0] == x).all()
+
+
+def test_a_sweep_takes_dishes_in_any_order():
+    random, d, ratios = np.random.default_rng(7), 0.5, P.stirling_ratios(0.5, 60)
+    c = random.permutation(np.repeat([1, 2, 9, 31, 32, 55], 4000))
+    base = np.where(c % 2, 0.8, 0.3)
+    t = P.first_seating(c, base, np.ones(len(c), np.int64), d, random)
+    for _ in range(15):
+        P.reseat(c, t, base, ratios, d, random)
+    for n in (2, 9, 31, 32, 55):
+        assert t[c == n].mean() == pytest.approx(stationary_tables(n, 0.8 if n % 2 else 0.3, d), rel=0.04)
+    assert (t[c == 1] == 1).all()
+
+
 def brute(rows, passes, burn_in, samples):
     """The same model held whole, with its own sums and probabilities: one part, every context and word in one array."""
     rows = [(i, t) for i, t in rows if t is not None]
